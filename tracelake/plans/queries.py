@@ -240,12 +240,12 @@ def _(node):
 S_OPENAPI = f"""{S_LITERALS},
 routes as (select distinct {s_norm('path')} as norm, target_repo as repo, path from spec), route_norms as (select distinct norm, {s_sig('norm')} as sig from routes),
 outs as (select *, list_distinct(list_concat(case when path is null then [] else [path] end, url_paths)) as ps from literal where family in ('http-out', 'api-client-consumer')),
-call_paths as (select ord, repo, target_repo, family, file, line, u.p as call_path, u.i as at, {s_norm('u.p')} as norm from (select *, unnest(list_transform(range(1, len(ps) + 1), lambda i: {{'i': i, 'p': ps[i]}})) as u from outs)),
+call_paths as (select ord, repo, target_repo, family, file, line, u.p as call_path, u.i as pos, {s_norm('u.p')} as norm from (select *, unnest(list_transform(range(1, len(ps) + 1), lambda i: {{'i': i, 'p': ps[i]}})) as u from outs)),
 wanted as (select distinct norm, {s_sig('norm')} as sig from call_paths),
 scored as (select w.norm, r.norm as route_norm, case when w.norm = r.norm then 'high' else {s_label('w.norm', 'r.norm', 'w.sig', 'r.sig')} end as confidence, w.norm = r.norm as same, -abs(len(r.sig) - len(w.sig)) as near from wanted w, route_norms r where len(w.sig) > 0),
 ranked as (select *, rank() over (partition by norm order by same desc, {RANK} desc, near desc) as rk from scored where confidence is not null),
 hits as (select c.*, r.repo as route_repo, r.path as route_path, r.norm as route_norm from call_paths c join ranked m on c.norm = m.norm and m.rk = 1 join routes r on r.norm = m.route_norm where c.repo <> r.repo and (c.target_repo is null or c.target_repo = r.repo)),
-first as (select *, row_number() over (partition by repo, route_repo, route_norm order by ord, at, route_path) as rn from hits),
+first as (select *, row_number() over (partition by repo, route_repo, route_norm order by ord, pos, route_path) as rn from hits),
 openapi as (select repo as source_repo, route_repo as target_repo, route_path as target_path, 'openapi' as confidence, concat(family, ' path matches OpenAPI') as evidence, {_REF} as ref from first where rn = 1)"""
 
 
