@@ -23,10 +23,8 @@ SPACES = "\\t-\\r \\x85\\xa0"
 PRETOKEN = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 #: Any other character: such a text goes through the library as a whole.
 UNUSUAL = re.compile("[^\\x00-ɏ‐-‧‰-⁞€]")
-_HAS_SPACE = re.compile(f"[{SPACES}]").search
-
-#: Pre-tokens that a worker remembers; beyond it starts anew. Bounds memory only: results do not depend on it.
-MEMO_ENTRIES = 400_000
+#: Pre-tokens that a worker remembers at most (but for those of one batch). Bounds memory only: results do not depend on it.
+MEMO_ENTRIES = 700_000
 
 
 class Vocabulary:
@@ -58,12 +56,37 @@ def pretokens(text: str, specials: tuple[str, ...]) -> list[str] | None:
     return PRETOKEN.findall(text)
 
 
+class Memo(dict):
+    """Pre-tokens' ids; a pre-token that is not there yet stands for itself and is listed as new.
+
+    When it is full, what was used since then is kept and the rest forgotten at the next time: pre-tokens in use stay.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+        self.old: dict = {}
+
+    def __missing__(self, word: str) -> bytes | str:
+        known = self.old.get(word)
+        if known is None:
+            known = word
+            self.new.append(word)
+        self[word] = known
+        return known
+
+    def trim(self) -> None:
+        if len(self) > MEMO_ENTRIES // 2:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library, as little-endian unsigned 32-bit integers.
+    """Ids of whole texts by the tokenizers library, as little-endian unsigned integers of `dtype`.
 
     Byte-level BPE encodes pre-tokens on their own, so ids of a text are its pre-tokens' ids in a row. The library encodes
-    each distinct pre-token once, newline-joined with others; a memo keeps the bytes. Other vocabularies, and texts that
-    pretokens() does not split, go to the library whole.
+    each distinct pre-token of a batch once, newline-joined with the other new ones; a memo keeps the bytes. Other
+    vocabularies, and texts that pretokens() does not split, go to the library whole.
     """
 
     def __init__(self, text: str):
@@ -75,41 +98,51 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.specials = special_strings(spec)
-        self.split = is_plain_byte_level(spec)
-        self.memo: dict[str, bytes] = {}
-        self.newline = self._whole("\n")
-        self.split &= len(self.newline) == 4
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.memo) + len(words) > MEMO_ENTRIES:
-            self.memo.clear()
-        joined = [w for w in words if not _HAS_SPACE(w) or len(w) > 1 and w[0] == " " and not _HAS_SPACE(w, 1)]
-        ids = np.frombuffer(self._whole("\n".join(joined)), dtype="<u4")
-        ends = np.append(np.flatnonzero(ids == int.from_bytes(self.newline, "little")), len(ids)) * 4
+        most = max(self.library.get_vocab_size(with_added_tokens=True), *(t["id"] + 1 for t in spec["added_tokens"]), 1)
+        self.dtype = np.dtype("<u2" if most <= 65536 else "<u4")
+        self.memo = Memo()
+        self.newline = self._ids("\n")
+        self.split = is_plain_byte_level(spec) and len(self.newline) == 1
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+
+    def _learn(self) -> None:
+        """Encodes the memo's new pre-tokens: one that is not all white space has none but a first space, so newlines part them."""
+        memo, words = self.memo, self.memo.new
+        memo.new = []
+        joined = [w for w in words if not w.isspace()]
+        ids = self._ids("\n".join(joined))
+        ends = np.append(np.flatnonzero(ids == self.newline[0]), len(ids)) * self.dtype.itemsize
         if joined and len(ends) == len(joined):
-            raw, at = ids.tobytes(), 0
+            raw, at, step = ids.tobytes(), 0, self.dtype.itemsize
             for w, end in zip(joined, ends.tolist(), strict=True):
-                self.memo[w] = raw[at:end]
-                at = end + 4
+                memo[w] = raw[at:end]
+                at = end + step
         for w in words:
-            if w not in self.memo:
-                self.memo[w] = self._whole(w)
-
-    def __call__(self, text: str) -> bytes:
-        words = pretokens(text, self.specials) if self.split else None
-        if words is None:
-            return self._whole(text)
-        try:
-            return b"".join(map(self.memo.__getitem__, words))
-        except KeyError:
-            self._learn([w for w in set(words) if w not in self.memo])
-        try:
-            return b"".join(map(self.memo.__getitem__, words))
-        except KeyError:  # the memo was emptied meanwhile
-            return self._whole(text)
+            if memo[w] is w:
+                memo[w] = self._ids(w).tobytes()
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        memo = self.memo
+        memo.trim()
+        parts: list[list | None] = []
+        for text in texts:
+            words = pretokens(text, self.specials) if self.split else None
+            parts.append(None if words is None else list(map(memo.__getitem__, words)))
+        if memo.new:
+            self._learn()
+        out = []
+        for text, own in zip(texts, parts, strict=True):
+            if own is None:
+                out.append(self._ids(text).tobytes())
+                continue
+            try:
+                out.append(b"".join(own))
+            except TypeError:  # pre-tokens that were new
+                out.append(b"".join([x if type(x) is bytes else memo[x] for x in own]))
+        return out
 
 
 def encoder(key: tuple, text) -> Encoder:

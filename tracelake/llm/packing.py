@@ -102,17 +102,17 @@ def piece_table(docs: DataFrame, vocabulary: str, end_id: int | None = 2, capaci
     """The pieces with their ids (little-endian unsigned 32-bit), written to the shared folder."""
     voc = Vocabulary(vocabulary)
     text, key = voc.broadcast(docs.sparkSession), voc.key
-    end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def make():
         encode = encoder(key, text)
+        end = b"" if end_id is None else struct.pack("<I", end_id)
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
-            for doc_id, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encode(t) + end
+            for doc_id, got in zip(b.column(0).to_pylist(), encode.many(b.column(1).to_pylist()), strict=True):
+                ids = np.frombuffer(got, dtype=encode.dtype).astype("<u4").tobytes() + end
                 n = len(ids) // 4
                 at, piece = 0, 0
                 while at < n:

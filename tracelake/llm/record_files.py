@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tracelake.llm.bpe import Vocabulary, encoder
-from tracelake.llm.common import binary, documents, map_arrow, scratch
+from tracelake.llm.common import binary, documents, map_arrow, scratch, small_batches
 
 #: Fixed value: what is added to a rotated checksum.
 MASK_DELTA = 0xA282EAD8
@@ -48,13 +48,11 @@ def masked(data: bytes) -> int:
     return (((c >> 15) | (c << 17)) + MASK_DELTA) & 0xFFFFFFFF
 
 
-def frame(doc_id: int | None, ids: bytes) -> bytes:
-    """A record of ids (little-endian unsigned 32-bit)."""
-    wide = np.frombuffer(ids, dtype="<u4")
-    small = not len(wide) or int(wide.max()) < 65536
-    payload = NAME.pack(doc_id or 0, (doc_id is None) | 2 * small) + (wide.astype("<u2").tobytes() if small else ids)
+def frame(doc_id: int | None, ids: bytes, small: bool = False) -> bytes:
+    """A record of ids: little-endian unsigned 16-bit if small, else 32-bit."""
+    payload = NAME.pack(doc_id or 0, (doc_id is None) | 2 * small) + ids
     size = struct.pack("<Q", len(payload))
-    return b"".join((size, struct.pack("<I", masked(size)), payload, struct.pack("<I", masked(payload))))
+    return b"".join((size, struct.pack("<I", masked(size)), payload, struct.pack("<I", masked(payload)), b"\n"))
 
 
 def read_frame(data: bytes, at: int) -> tuple[int, int | None, bytes]:
@@ -80,20 +78,23 @@ def write_records(docs: DataFrame, vocabulary: str, path: str, end_id: int | Non
     """
     spark, voc = docs.sparkSession, Vocabulary(vocabulary)
     text, key = voc.broadcast(spark), voc.key
-    end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def make():
         encode = encoder(key, text)
+        small = encode.dtype.itemsize == 2
+        end = b"" if end_id is None else np.array([end_id], dtype=encode.dtype).tobytes()
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([binary([frame(i, encode(t) + end) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])], ["value"])
+            # The text writer ends each record with its newline.
+            return pa.RecordBatch.from_arrays([binary([frame(i, ids + end, small)[:-1] for i, ids in zip(b.column(0).to_pylist(), encode.many(b.column(1).to_pylist()), strict=True)])], ["value"])
 
         return batch
 
     rows = documents(docs)
     shards = max(1, -(-rows.count() // rows_per_shard))
     in_order = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    map_arrow(in_order, "value binary", make).select(F.col("value").cast("string")).write.option("compression", "none").text(path)
+    with small_batches(spark):
+        map_arrow(in_order, "value binary", make).select(F.col("value").cast("string")).write.option("compression", "none").text(path)
 
 
 def shard_files(spark: SparkSession, path: str) -> DataFrame:
