@@ -85,7 +85,7 @@ def needed(m: int, threshold: float = THRESHOLD) -> int:
 
 
 def similar_blocks(blocks: DataFrame, templates: list[tuple[str, str]], order: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """blocks (row, block, tokens: the block's distinct template words) joined with templates: row, block, label, containment."""
+    """blocks (row, block, tokens: the block's distinct template words) joined with templates: row, block, label, containment; a pair may stand more than once."""
     spark = blocks.sparkSession
     rank = {w: k for k, w in enumerate(order)}
     prefixes, whole = [], []
@@ -100,7 +100,8 @@ def similar_blocks(blocks: DataFrame, templates: list[tuple[str, str]], order: l
     ranked = blocks.withColumn("sorted", F.array_sort(F.transform("tokens", lambda w: F.struct(position[w].alias("r"), w.alias("w")))))
     probes = ranked.select("row", "block", "sorted", F.size("sorted").alias("n"), F.posexplode("sorted").alias("j", "s")).withColumn("w", F.col("s.w"))
     met = probes.join(index, "w").where((F.col("n") >= F.col("c")) & (1 + F.least(F.col("m") - F.col("i") - 1, F.col("n") - F.col("j") - 1) >= F.col("c")))
-    pairs = met.select("row", "block", "k", F.transform("sorted", lambda s: s["w"]).alias("tokens")).dropDuplicates(["row", "block", "k"])
+    # A block may meet a template at several of its prefix words; it is then counted as often, and stands as often in the result.
+    pairs = met.select("row", "block", "k", F.transform("sorted", lambda s: s["w"]).alias("tokens"))
     shared = F.size(F.array_intersect("tokens", "own"))
     return pairs.join(sets, "k").where(shared >= F.col("c")).select("row", "block", "label", (shared / F.size("own")).alias("containment"))
 
