@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracelake.llm import language_crf, packing, quality_rules, simhash
 from tracelake.llm.common import stored, table
@@ -17,24 +18,19 @@ from tracelake.llm.queries import vocabulary
 LEAST_SHARE = 0.35
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose doc_id is in kept; those without doc_id cannot be named by a decision and go."""
-    return docs.join(kept.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi").select(*docs.columns)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality_rules.quality_rules(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, judged.where("kept"))
+    return quality_rules.kept_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language_crf.identify(docs)
-    return _only(docs, found.where((F.col("lang_pred") != language_crf.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)))
+    return language_crf.rows_in_a_language(docs, LEAST_SHARE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(docs)
-    return _only(docs, groups.where("doc_id = component_id")).dropDuplicates(["doc_id"])
+    """One document of each group stays, the one with the smallest doc_id; of rows of one doc_id the first by text; rows without doc_id cannot be named and go."""
+    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return docs.join(kept, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows that a Python worker turns into Python objects at a time.
 ROWS_AT_A_TIME = 512
@@ -68,7 +69,7 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], rows: int = ROWS_AT_A_TIME) -> DataFrame:
+def map_arrow(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], rows: int = ROWS_AT_A_TIME) -> DataFrame:
     """mapInArrow with batches of at most `rows` rows; make() runs once a task and gives the function for a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,6 +82,24 @@ def map_arrow(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def map_rows(docs: DataFrame, schema: str, make: Callable[[], Callable[[list[str]], list[pa.Array]]]) -> DataFrame:
+    """Whole rows of docs, as the struct `_row`, with columns that make()'s function gives for their texts (null: empty)."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    names = ["_row", *(x.split()[0] for x in schema.split(", "))]
+
+    def batches() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        f = make()
+
+        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+            texts = b.column(0).field("text").to_pylist()
+            return pa.RecordBatch.from_arrays([b.column(0), *f([t or "" for t in texts])], names)
+
+        return batch
+
+    fields = [*rows.schema.fields, *T.StructType.fromDDL(schema).fields]
+    return map_arrow(rows, T.StructType(fields), batches)
+
+
 def worker_value(key: tuple, make: Callable):
     """make()'s value, kept by this worker under the key."""
     if key not in WORKER:

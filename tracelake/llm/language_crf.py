@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import documents, map_arrow
+from tracelake.llm.common import documents, map_arrow, map_rows
 from tracelake.llm.hashing import mix, rolling
 
 BITS = 16
@@ -291,3 +291,14 @@ def identify(docs: DataFrame, model: Crf | None = None, limit: int = TRAIN_DOCS)
         return batch
 
     return map_arrow(documents(docs).select("doc_id", held_out().alias("held_out"), "text"), SCHEMA, make)
+
+
+def rows_in_a_language(docs: DataFrame, least: float, model: Crf | None = None, limit: int = TRAIN_DOCS) -> DataFrame:
+    """The rows of docs in which some language has at least this share of the words, with docs' own columns; none is shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast(fit(passages(docs, limit)) if model is None else model)
+
+    def make():
+        label = Labeller(held.value)
+        return lambda texts: [pa.array([lang != UNDETERMINED and score >= least for lang, score in label(texts)], type=pa.bool_())]
+
+    return map_rows(docs, "found boolean", make).where("found").select("_row.*")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import binary, documents, map_arrow
+from tracelake.llm.common import binary, documents, map_arrow, map_rows
 from tracelake.llm.hashing import mix, rolling, spans
 
 #: Buckets of hashed features, as a power of two, for each kind of n-gram.
@@ -141,11 +141,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, held: np.ndarr
     used = ~held if len(set(y[~held].tolist())) == 2 else np.ones(len(y), dtype=bool)
     own = [r for r, u in zip(rows, used, strict=True) if u]
     col = np.concatenate([r[0] for r in own])
-    val = np.concatenate([r[1] for r in own]).astype(np.float64)
-    row = np.repeat(np.arange(len(own)), [len(r[0]) for r in own])
-    cols, col = np.unique(col, return_inverse=True)
+    val = np.concatenate([r[1] for r in own]).astype(np.float32)
+    row = np.repeat(np.arange(len(own), dtype=np.int32), [len(r[0]) for r in own])
+    cols = np.unique(col)
+    col = np.searchsorted(cols, col).astype(np.int32)
     # Frequent buckets are scaled down, rare ones up, as far as a floor.
-    norm = 1 / np.sqrt(np.bincount(col, weights=val * val, minlength=len(cols)) / len(own) + 1e-7)
+    norm = (1 / np.sqrt(np.bincount(col, weights=val * val, minlength=len(cols)) / len(own) + 1e-7)).astype(np.float32)
     val *= norm[col]
     target = y[used].astype(np.float64)
     # Both classes weigh the same.
@@ -228,23 +229,35 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model:
     return fit(rows, np.array([r["quality"] for r in got], dtype=np.int64), np.array([r["doc_id"] % 3 == 0 for r in got], dtype=bool))
 
 
+def _judged(texts: list[str], model: Model, keep_at: float) -> list[pa.Array]:
+    out = []
+    for t in texts:
+        counts = base_counts(t)
+        failed, p = base_failed(counts[0], counts[4]), model.p_good(t)
+        out.append((*counts, failed, p, not failed and p >= keep_at))
+    columns = list(zip(*out, strict=True)) or [()] * 8
+    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
+    return [pa.array(v, type=k) for v, k in zip(columns, kinds, strict=True)]
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, keep_at: float = KEEP_AT) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, p_good and kept for every document."""
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, limit))
 
     def make():
         model = held.value
+        names = [x.split()[0] for x in SCHEMA.split(", ")]
+        return lambda b: pa.RecordBatch.from_arrays([b.column(0), *_judged(b.column(1).to_pylist(), model, keep_at)], names)
 
-        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            for t in b.column(1).to_pylist():
-                counts = base_counts(t)
-                failed, p = base_failed(counts[0], counts[4]), model.p_good(t)
-                out.append((*counts, failed, p, not failed and p >= keep_at))
-            c = list(zip(*out, strict=True)) or [()] * 8
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
-            return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, type=k) for v, k in zip(c, kinds, strict=True))], [x.split()[0] for x in SCHEMA.split(", ")])
+    return map_arrow(documents(docs), SCHEMA, make)
 
-        return batch
 
-    return map_arrow(documents(docs), SCHEMA, make)
+def kept_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows of docs that the rules keep, with docs' own columns; each row is judged by itself, and none is shuffled."""
+    held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, limit))
+
+    def make():
+        model = held.value
+        return lambda texts: _judged(texts, model, keep_at)[-1:]
+
+    return map_rows(docs, "kept boolean", make).where("kept").select("_row.*")

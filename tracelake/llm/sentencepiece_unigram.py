@@ -25,7 +25,7 @@ from collections import deque
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tracelake.llm.common import binary, documents, map_arrow, worker_value
 
@@ -213,11 +213,17 @@ class Unigram:
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
-def _model(spark, path: str):
+def _model(spark: SparkSession, path: str):
     """The model, built once on the driver, for the workers; its size does not depend on the data."""
     with open(path, "rb") as f:
         data = f.read()
-    return spark.sparkContext.broadcast(Unigram(data)), (len(data), zlib.crc32(data))
+    key = (len(data), zlib.crc32(data))
+    if key not in _BUILT:
+        _BUILT[key] = Unigram(data)
+    return spark.sparkContext.broadcast(_BUILT[key]), key
+
+
+_BUILT: dict[tuple, Unigram] = {}
 
 
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:

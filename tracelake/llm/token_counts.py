@@ -15,14 +15,17 @@ from __future__ import annotations
 
 import json
 import os
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracelake.llm.bpe import MEMO_ENTRIES, Vocabulary, is_plain_byte_level, pretokens, special_strings
+from tracelake.llm.bpe import Vocabulary, is_plain_byte_level, pretokens, special_strings
 from tracelake.llm.common import documents, map_arrow, worker_value
 
 LIMIT = 512
+#: Pre-tokens that a worker remembers; beyond it starts anew from the proven ones.
+MEMO_ENTRIES = 400_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -78,39 +81,50 @@ def whole_tokens(spec: dict) -> list[str]:
     return proven
 
 
+class Memo(dict):
+    """Tokens by pre-token: proven ones are there from the start, others are merged when first seen."""
+
+    def __init__(self, whole: dict[str, int], merges: Merges):
+        super().__init__(whole)
+        self.whole, self.merges = whole, merges
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self.merges.tokens(word))
+        return n
+
+    def trim(self) -> None:
+        if len(self) > MEMO_ENTRIES:
+            self.clear()
+            self.update(self.whole)
+
+
 class Counter:
-    """Counts tokens of whole texts; `merged` tells how many distinct pre-tokens were merged."""
+    """Counts tokens of whole texts."""
 
     def __init__(self, text: str, proven: list[str] | None = None):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
         spec = json.loads(text)
-        self.library = Tokenizer.from_str(text)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.text = text
         self.specials = special_strings(spec)
         self.split = is_plain_byte_level(spec)
-        self.merges = Merges(spec) if self.split else None
         self.whole = dict.fromkeys(whole_tokens(spec) if proven is None else proven, 1) if self.split else {}
-        self.memo = dict(self.whole)
-        self.merged = 0
+        self.memo = Memo(self.whole, Merges(spec)) if self.split else None
+
+    @cached_property
+    def library(self):
+        """The tokenizers library, for texts that are not split here."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_str(self.text)
+        library.no_truncation()
+        library.no_padding()
+        return library
 
     def __call__(self, text: str) -> int:
         words = pretokens(text, self.specials) if self.split else None
         if words is None:
             return len(self.library.encode(text, add_special_tokens=False).ids)
-        try:
-            return sum(map(self.memo.__getitem__, words))
-        except KeyError:
-            pass
-        new = [w for w in set(words) if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO_ENTRIES:
-            self.memo = dict(self.whole)
-            new = [w for w in set(words) if w not in self.memo]
-        self.merged += len(new)
-        for w in new:
-            self.memo[w] = len(self.merges.tokens(w))
+        self.memo.trim()
         return sum(map(self.memo.__getitem__, words))
 
 
