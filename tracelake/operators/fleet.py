@@ -10,16 +10,7 @@ from tracelake.functions.fields import confidence_rank
 from tracelake.functions.paths import normalize_path, significant_segments
 from tracelake.functions.vocabulary import CLIENT_SUFFIXES, MAX_PATTERN_REPOS
 from tracelake.operators.inventory import joined_set
-from tracelake.operators.routes import match_routes, route_index
-
-#: Configuration tables (bindings, patterns) are read from files of the operator's and checked to stay this small to be broadcast.
-MAX_BROADCAST_BINDINGS = 10_000
-
-
-def small(bindings: DataFrame) -> DataFrame:
-    """bindings, broadcast if they are as few as configuration is."""
-    return F.broadcast(bindings) if bindings.limit(MAX_BROADCAST_BINDINGS + 1).count() <= MAX_BROADCAST_BINDINGS else bindings
-
+from tracelake.operators.routes import contained, match_routes, route_index
 
 def strongest(hits: DataFrame, *keys: str) -> DataFrame:
     """Of each key's hits the strongest, the first on a tie."""
@@ -30,19 +21,24 @@ def strongest(hits: DataFrame, *keys: str) -> DataFrame:
 def producer_hits(nodes: DataFrame, dependencies: DataFrame, bindings: DataFrame) -> DataFrame:
     """Repositories that produce payloads for a binding's service: by dependency, by imported client, by outbound call.
 
-    Empty artifacts, aliases and paths of a binding match nothing. Dependencies and hosts are reduced to distinct values first.
+    Empty artifacts, aliases and paths of a binding match nothing. Dependencies, hosts and paths are reduced to distinct values,
+    which are then looked up in the bindings piece by piece.
     """
-    b = small(bindings)
+    b = bindings
     deps = dependencies.groupBy("repo", "artifact_id").agg(F.min("ord").alias("ord"))
-    of_artifact = deps.select("artifact_id").distinct().join(b.where("maven_artifact != ''"), F.contains(F.col("artifact_id"), F.col("maven_artifact"))).select("artifact_id", "target_repo", "maven_artifact")
+    met = contained(deps.select(F.col("artifact_id").alias("text")), b.select(F.col("maven_artifact").alias("name")))
+    of_artifact = met.join(b, F.col("name") == F.col("maven_artifact")).select(F.col("text").alias("artifact_id"), "target_repo")
     dep = deps.join(of_artifact, "artifact_id").groupBy("repo", "target_repo").agg(F.min(F.struct("ord", "artifact_id")).alias("f")).select(F.col("repo").alias("source_repo"), "target_repo", F.lit("dependency").alias("kind"), F.lit("high").alias("confidence"), F.concat(F.lit("depends on "), F.col("f.artifact_id")).alias("evidence"), F.col("f.ord").alias("ord"))
     targets = b.select("target_repo").distinct()
     client = nodes.where("family = 'api-client-consumer'").join(targets, "target_repo", "left_semi").select(F.col("repo").alias("source_repo"), "target_repo", F.lit("api-client").alias("kind"), F.lit("high").alias("confidence"), F.lit("imports its client").alias("evidence"), "ord")
-    calls = nodes.where("family = 'http-out' and kind = 'sink'")
-    of_host = calls.select("host").where("host is not null").distinct().join(b.where("alias != ''"), F.contains(F.lower("host"), F.lower("alias"))).select("host", "target_repo")
-    host = calls.join(of_host.withColumnRenamed("target_repo", "t"), "host").select(F.col("repo").alias("source_repo"), F.col("t").alias("target_repo"), F.lit("http-out").alias("kind"), F.lit("medium").alias("confidence"), F.concat(F.lit("host "), F.col("host")).alias("evidence"), "ord")
-    of_path = calls.select("path").where("path is not null").distinct().join(b.where("path != ''").select(F.col("path").alias("b_path"), "target_repo"), F.col("path").endswith(F.col("b_path"))).select("path", "target_repo")
-    path = calls.join(of_path.withColumnRenamed("target_repo", "t"), "path").join(of_host.select("host", F.col("target_repo").alias("t")), ["host", "t"], "left_anti").select(F.col("repo").alias("source_repo"), F.col("t").alias("target_repo"), F.lit("http-out").alias("kind"), F.lit("low").alias("confidence"), F.concat(F.lit("path "), F.col("path")).alias("evidence"), "ord")
+    calls = nodes.where("family = 'http-out' and kind = 'sink'").select("repo", "ord", "host", "path")
+    met = contained(calls.select(F.lower("host").alias("text")), b.select(F.lower("alias").alias("name")))
+    of_host = met.join(b, F.col("name") == F.lower("alias")).select("text", F.col("target_repo").alias("t")).distinct()
+    host = calls.join(of_host, F.lower("host") == F.col("text")).select(F.col("repo").alias("source_repo"), F.col("t").alias("target_repo"), F.lit("http-out").alias("kind"), F.lit("medium").alias("confidence"), F.concat(F.lit("host "), F.col("host")).alias("evidence"), "ord")
+    met = contained(calls.select(F.col("path").alias("text")), b.select(F.col("path").alias("name")), suffix=True)
+    of_path = met.join(b.select(F.col("path").alias("name"), "target_repo"), "name").select("text", F.col("target_repo").alias("t")).distinct()
+    by_path = calls.join(of_path, F.col("path") == F.col("text")).withColumn("low", F.lower("host")).drop("text")
+    path = by_path.join(of_host.withColumnRenamed("text", "low"), ["low", "t"], "left_anti").select(F.col("repo").alias("source_repo"), F.col("t").alias("target_repo"), F.lit("http-out").alias("kind"), F.lit("low").alias("confidence"), F.concat(F.lit("path "), F.col("path")).alias("evidence"), "ord")
     every = dep.unionByName(client).unionByName(host).unionByName(path).where("source_repo != target_repo")
     return strongest(every, "source_repo", "target_repo", "kind").drop("ord")
 

@@ -64,25 +64,38 @@ def aliases(repos: DataFrame, bindings: DataFrame | None = None) -> DataFrame:
     return best.unionByName(more)
 
 
-#: Distinct repositories up to which the fallback's substring join broadcasts them.
-BROADCAST_REPOS = 200_000
+def contained(texts: DataFrame, names: DataFrame, suffix: bool = False) -> DataFrame:
+    """texts (text) and names (name): the pairs in which the name stands in the text, or at its end, as an equi-join.
+
+    All pieces of a text of a length that some name has are looked up. The lengths, at most as many as the longest name has
+    characters, go to the driver; texts and names are distinct values and meet by a shuffle join however many there are.
+    """
+    t = texts.select("text").where("text is not null").distinct()
+    n = names.select("name").where("name is not null and name != ''").distinct()
+    lengths = sorted(r[0] for r in n.select(F.length("name")).distinct().collect())
+    if not lengths:
+        return t.where("false").select("text", F.lit("").alias("name"))
+    fitting = F.filter(F.array(*[F.lit(k) for k in lengths]), lambda k: k <= F.length("text"))
+    if suffix:
+        pieces = F.transform(fitting, lambda k: F.substr("text", F.length("text") - k + 1, k))
+    else:
+        pieces = F.flatten(F.transform(fitting, lambda k: F.transform(F.sequence(F.lit(1), F.length("text") - k + 1), lambda i: F.substr("text", i, k))))
+    return t.select("text", F.explode(F.array_distinct(pieces)).alias("name")).join(n, "name").select("text", "name")
 
 
 def resolve_hosts(hosts: DataFrame, index: DataFrame, repos: DataFrame) -> DataFrame:
     """(host, repo) for distinct hosts: the whole host is an alias, else its first label is, else a repository's alias stands in it.
 
-    The last step compares the hosts left over with all repositories; it takes the first alias by ord that is found.
+    The last step takes the first alias by ord that stands in the host.
     """
     h = hosts.select("host").where("host is not null").distinct().where(~F.col("host").isin(*V.NOISE_HOSTS)).withColumn("low", F.lower("host"))
     full = h.join(index.select(F.col("alias").alias("low"), F.col("repo").alias("full_repo")), "low", "left")
     label = full.withColumn("label", F.split("low", r"\.")[0]).join(index.select(F.col("alias").alias("label"), F.col("repo").alias("label_repo")), "label", "left")
     known = label.select("host", "low", F.coalesce("full_repo", "label_repo").alias("repo"))
     left = known.where("repo is null").select("host", "low")
-    names = repos.select("repo", "ord", F.explode(name_aliases(F.col("name"))).alias("alias")).where("alias != ''")
-    # An alias stands in a host at some place: all pieces of the host of a length that an alias has are looked up by equi-join.
-    lengths = names.select(F.length("alias").alias("n")).distinct().agg(F.collect_set("n").alias("lengths"))
-    pieces = left.join(F.broadcast(lengths)).select("host", F.explode("lengths").alias("n"), "low").where(F.length("low") >= F.col("n")).select("host", F.explode(F.transform(F.sequence(F.lit(1), F.length("low") - F.col("n") + 1), lambda i: F.substr(F.col("low"), i, F.col("n")))).alias("alias"))
-    fallback = pieces.distinct().join(names, "alias").groupBy("host").agg(F.min_by("repo", "ord").alias("repo"))
+    names = repos.select("repo", "ord", F.explode(name_aliases(F.col("name"))).alias("alias"))
+    found = contained(left.select(F.col("low").alias("text")), names.select(F.col("alias").alias("name")))
+    fallback = left.join(found, left["low"] == found["text"]).join(names, F.col("name") == F.col("alias")).groupBy("host").agg(F.min_by("repo", "ord").alias("repo"))
     return known.where("repo is not null").select("host", "repo").unionByName(fallback)
 
 
