@@ -20,9 +20,9 @@ def tree(tmp_path, content):
 
 
 def test_checkout(spark, tmp_path):
-    root = tree(tmp_path, {"g/r/src/A.java": "class A {}", "g/r/node_modules/x.js": "1", "g/r/.github/ci.yml": "a: b", "g/r/.hidden/x.py": "1", "g/r/src/latest/b.go": "package b", "g/r/src/test/T.java": "x", "g/s/bad.py": b"\xff\xfe ok", "g/s/big.py": "x" * 100})
+    root = tree(tmp_path, {"g/r/src/A.java": "class A {}", "g/r/node_modules/x.js": "1", "g/r/.github/ci.yml": "a: b", "g/r/.hidden/x.py": "1", "g/r/src/latest/b.go": "package b", "g/r/src/test/T.java": "x", "g/s/bad.py": b"\xff\xfe ok", "g/s/big.py": "x" * 100, "g/s/pkg/__init__.py": "x = 1", "g/s/__pycache__/y.py": "1"})
     got = files.checkout(spark, root, most=50)
-    assert sorted((r["repo"], r["file"], r["language"]) for r in got.collect()) == [("g/r", ".github/ci.yml", "config"), ("g/r", "src/A.java", "java"), ("g/r", "src/latest/b.go", "go"), ("g/r", "src/test/T.java", "java"), ("g/s", "bad.py", "python")]
+    assert sorted((r["repo"], r["file"], r["language"]) for r in got.collect()) == [("g/r", ".github/ci.yml", "config"), ("g/r", "src/A.java", "java"), ("g/r", "src/latest/b.go", "go"), ("g/r", "src/test/T.java", "java"), ("g/s", "bad.py", "python"), ("g/s", "pkg/__init__.py", "python")]
     assert "�" in got.where("file = 'bad.py'").first()["text"]
     assert "src/test/T.java" not in [r["file"] for r in files.scannable(got).collect()]
     assert files.checkout(spark, root, only="g/s").select("repo").distinct().count() == 1
@@ -48,7 +48,7 @@ def test_manifests(spark, tmp_path):
             "g/bad/pyproject.toml": "[project",
             "g/js/package.json": json.dumps({"dependencies": {"x": "^1", "y": "2"}}),
             "g/js/package-lock.json": json.dumps({"packages": {"node_modules/x": {"version": "1.5"}}}),
-            "g/rs/Cargo.toml": "",
+            "g/rs/Cargo.toml": "[package]",
             "g/m/pom.xml": POM.format(a="parent", x="<properties><v>7</v></properties><dependencyManagement><dependencies><dependency><groupId>o</groupId><artifactId>managed</artifactId><version>${v}</version></dependency></dependencies></dependencyManagement>"),
             "g/m/child/pom.xml": POM.format(a="child", x="<parent><groupId>com.acme</groupId><artifactId>parent</artifactId><version>1</version></parent><dependencies><dependency><groupId>o</groupId><artifactId>managed</artifactId></dependency><dependency><groupId>o</groupId><artifactId>p</artifactId><version>${v}</version></dependency><dependency><groupId>o</groupId><artifactId>lit</artifactId><version>3</version></dependency><dependency><groupId>o</groupId><artifactId>gone</artifactId></dependency></dependencies>"),
             "g/m/bad/pom.xml": "<!DOCTYPE x><project/>",

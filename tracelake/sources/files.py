@@ -47,13 +47,54 @@ def is_skipped(path: Column) -> Column:
     return F.exists(directories, lambda d: d.isin(*SKIP_DIRS) | (d.startswith(".") & (d != ".github")))
 
 
+def _hidden(spark: SparkSession, root: str, most: int, depth: int = 24) -> list[tuple[str, int]]:
+    """(path, size) of files that Spark's listing leaves out: names that begin with _, and .github, at any depth below the repositories."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[str, int] = {}
+    below = root.rstrip("/") + "/*/*"
+    for _ in range(depth):
+        if not fs.globStatus(path(below)):
+            break
+        for status in fs.globStatus(path(below + "/{_*,.github}")):
+            if status.isFile():
+                found[status.getPath().toString()] = status.getLen()
+            elif status.getPath().getName() not in SKIP_DIRS:
+                inner = fs.listFiles(status.getPath(), True)
+                while inner.hasNext():
+                    each = inner.next()
+                    found[each.getPath().toString()] = each.getLen()
+        below += "/*"
+    return [(p, n) for p, n in found.items() if n <= most]
+
+
+def _read(batches):
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for b in batches:
+        content = []
+        for path in b.column(0).to_pylist():
+            system, name = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+            with system.open_input_stream(name) as f:
+                content.append(f.read())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(content, type=pa.binary())], ["path", "length", "content"])
+
+
 def checkout(spark: SparkSession, root: str, most: int = MAX_FILE_BYTES, only: str | None = None, glob: str | None = None) -> DataFrame:
-    """Files of root/group/repository: repo, file, language, size, text. Sizes are filtered before contents are read; symlinks out of the tree are not followed by the listing."""
+    """Files of root/group/repository: repo, file, language, size, text. Sizes are filtered before contents are read.
+
+    Files whose names Spark's listing takes for hidden are listed apart and read by the executors.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     base = root.rstrip("/").removeprefix("file://").removeprefix("file:")
-    rows = reader.load(root).where(F.col("length") <= most)
+    rows = reader.load(root).where(F.col("length") <= most).select("path", "length", "content")
+    hidden = [] if glob else _hidden(spark, root, most)
+    if hidden:
+        rows = rows.unionByName(spark.createDataFrame(hidden, "path string, length long").repartition(max(1, len(hidden) // 200)).mapInArrow(_read, "path string, length long, content binary"))
     relative = F.regexp_replace(F.col("path"), r"^[a-z]+:/*", "/")
     rows = rows.withColumn("_p", F.split(F.substr(relative, F.lit(len(base) + 2)), "/")).where(F.size("_p") >= 3)
     rows = rows.select(F.concat_ws("/", F.col("_p")[0], F.col("_p")[1]).alias("repo"), F.array_join(F.slice("_p", F.lit(3), F.size("_p")), "/").alias("file"), F.col("length").alias("size"), "content")

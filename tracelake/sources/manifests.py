@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.storage import stored
+
 SCHEMA = "repo string, file string, group_id string, artifact_id string, version string, version_kind string, note string"
 PROPERTY_HOPS, PARENT_HOPS = 8, 6
 
@@ -176,29 +178,33 @@ def maven(files: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    parsed = poms.mapInArrow(run, fields)
+    # Each level stands on its own: lineage that refers to the level before twice would double with every level.
+    parsed = stored(poms.mapInArrow(run, fields), "poms")
     known = parsed.select(F.col("grp").alias("k_group"), F.col("artifact").alias("k_artifact"), F.col("repo").alias("k_repo"), F.col("file").alias("k_file"), F.col("properties").alias("k_properties"), F.col("managed").alias("k_managed"), F.col("parent_group").alias("k_pg"), F.col("parent_artifact").alias("k_pa"))
     rows = parsed.withColumn("tier", F.lit("literal"))
     merge = lambda near, far: F.map_concat(F.map_filter(far, lambda k, _: ~F.map_contains_key(near, k)), near)
     for _ in range(PARENT_HOPS):
+        if rows.where("parent_artifact is not null").isEmpty():
+            break
         met = rows.join(known, (F.col("parent_group") == F.col("k_group")) & (F.col("parent_artifact") == F.col("k_artifact")), "left")
         # A parent of the same repository comes before one of the fleet, then by name.
         best = met.groupBy("repo", "file").agg(F.min_by(F.struct("k_properties", "k_managed", "k_pg", "k_pa", "k_repo"), F.struct(F.col("k_repo") != F.col("repo"), F.col("k_repo"), F.col("k_file"))).alias("p"))
         rows = rows.join(best, ["repo", "file"], "left")
         found = F.col("p.k_repo").isNotNull()
-        rows = rows.select(
+        rows = stored(rows.select(
             "repo", "file", "grp", "artifact", "version", F.when(found, F.col("p.k_pg")).alias("parent_group"), F.when(found, F.col("p.k_pa")).alias("parent_artifact"),
             F.when(found, merge(F.col("properties"), F.col("p.k_properties"))).otherwise(F.col("properties")).alias("properties"),
             F.when(found, merge(F.col("managed"), F.col("p.k_managed"))).otherwise(F.col("managed")).alias("managed"), "declared",
             F.when(found & (F.col("p.k_repo") == F.col("repo")), "parent-in-repo").when(found, "parent-in-fleet").otherwise(F.col("tier")).alias("tier"),
-        )
+        ), "poms")
     d = rows.select("repo", "file", "properties", "managed", "tier", F.explode("declared").alias("d"))
 
     def expanded(value):
-        for _ in range(PROPERTY_HOPS):
-            key = F.regexp_extract(value, r"\$\{([^}]+)\}", 1)
-            value = F.when((key != "") & F.map_contains_key("properties", key), F.replace(value, F.concat(F.lit("${"), key, F.lit("}")), F.element_at("properties", key))).otherwise(value)
-        return value
+        def hop(text, _):
+            key = F.regexp_extract(text, r"\$\{([^}]+)\}", 1)
+            return F.when((key != "") & F.map_contains_key("properties", key), F.replace(text, F.concat(F.lit("${"), key, F.lit("}")), F.element_at("properties", key))).otherwise(text)
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(PROPERTY_HOPS)), value, hop)
 
     group = expanded(F.col("d.g"))
     d = d.withColumn("group_id", group).withColumn("raw", F.when(F.col("d.v") != "", F.col("d.v")).otherwise(F.coalesce(F.element_at("managed", F.concat_ws(":", group, F.col("d.a"))), F.lit(""))))
