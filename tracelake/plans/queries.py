@@ -730,3 +730,42 @@ def _(node):
 @query("path_filter", "select distinct path from node where family in ('http-in', 'http-out') and path like '%lines3%' and not path like '%extra%'")
 def _(node):
     return node.where("family in ('http-in', 'http-out')").where(paths.matches_filter(F.col("path"), "lines3")).select("path").distinct()
+
+
+# Extraction: source files written from parts and suppliers, scanned, and their observations counted.
+
+_SOURCE = """concat('class P', cast(p_partkey as string), ' {{\n  @GetMapping("/v1/p', cast(p_partkey % 30 as string), '")\n  void get() {{ kafkaTemplate.send("t', cast(p_size as string), '", x); }}\n  String ', case when p_partkey % 3 = 0 then 'email' else 'colour' end, ';\n}}\n')"""
+_PROPERTIES = "concat('spring.datasource.url=jdbc:postgresql://db', cast(s_suppkey as string), ':5432/app\ncsrf.enabled=', case when s_suppkey % 2 = 0 then 'true' else 'false' end, '\n')"
+
+
+@raw_query(
+    "extract_observations",
+    """select 'http-in' as family, concat('/v1/p', p_partkey % 30) as value, 2 as line, count(*) as n from part group by 2
+    union all select 'queue-pub', concat('t', p_size), 3, count(*) from part group by 2
+    union all select 'pii-field', 'email', 4, count(*) from part where p_partkey % 3 = 0
+    union all select 'type-decl', 'P', 1, count(*) from part
+    union all select 'method-decl', 'get', 3, count(*) from part
+    union all select 'call-site', 'send', 3, count(*) from part""",
+)
+def _(read):
+    from tracelake.extractors.scan import extract
+
+    parts = read("part")
+    source = parts.sparkSession.sql(f"select {_SOURCE} as text, p_partkey from {{part}}", part=parts)
+    found = extract(source.select(F.concat(F.lit("g/r"), (F.col("p_partkey") % 50).cast("string")).alias("repo"), F.concat(F.lit("src/P"), F.col("p_partkey").cast("string"), F.lit(".java")).alias("file"), F.lit("java").alias("language"), "text"))
+    value = F.coalesce(*[F.get_json_object("detail", f"$.{k}") for k in ("path", "topic", "field_name")], F.when(F.col("family") == "type-decl", "P").otherwise(F.col("symbol")))
+    return found.groupBy("family", value.alias("value"), "line").agg(F.count(F.lit(1)).alias("n"))
+
+
+@raw_query(
+    "extract_configuration",
+    "select 'data-store' as family, concat('jdbc:postgresql://db', s_suppkey, ':5432/app') as value, 2 as n from supplier union all select 'config-security', concat('csrf.enabled=', case when s_suppkey % 2 = 0 then 'true' else 'false' end), count(*) from supplier group by 2",
+)
+def _(read):
+    from tracelake.extractors.scan import extract
+
+    suppliers = read("supplier")
+    source = suppliers.sparkSession.sql(f"select {_PROPERTIES} as text, s_suppkey from {{supplier}}", supplier=suppliers)
+    found = extract(source.select(F.lit("g/r").alias("repo"), F.concat(F.lit("c"), F.col("s_suppkey").cast("string"), F.lit(".properties")).alias("file"), F.lit("config").alias("language"), "text"))
+    value = F.coalesce(F.get_json_object("detail", "$.url"), F.get_json_object("detail", "$.value_line"))
+    return found.groupBy("family", value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
