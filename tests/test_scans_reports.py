@@ -72,3 +72,28 @@ def test_trace_pages(spark, tmp_path):
     assert [tuple(r) for r in reports.trace_headers(spark, str(tmp_path)).collect()] == [("g/t", "/v1", 2)]
     (tmp_path / "c.jsonl").write_text('{"repo": "g/t", "endpoint_path": "/a"}\n{"repo": "g/t", "endpoint_path": "/a"}\n{}\n')
     assert reports.catalogue_targets(spark, str(tmp_path / "c.jsonl")).select(F.concat("repo", "endpoint_path")).first()[0] == "g/t/a"
+
+
+def test_repo_page_and_limits(spark, tmp_path):
+    from tracelake.sources import files
+
+    nodes = spark.createDataFrame([("g/t", "sql", "sink", "F", 1, "high", "mail a@b.cd | x")], "repo string, family string, kind string, file string, line int, confidence string, raw string")
+    text = reports.repo_page("g/t", nodes, "by hand")
+    assert "<redacted-email> \\| x" in text and text.endswith("by hand")
+    notes = spark.createDataFrame([("a", "parse failed: X"), ("a", "parse failed: Y"), ("b", "oversized line (> 5)"), ("c", "fine")], "repo string, note string")
+    assert {(r["limit"], r["repos"]) for r in files.limits_hit(notes).collect()} == {("parse", 1), ("line length", 1)}
+    (tmp_path / "p.json").write_text('{"patterns": ["^org[.]own"]}')
+    assert files.internal_patterns(spark, str(tmp_path / "p.json"), ["x"]) == ["^org[.]own", "x"]
+
+
+def test_config_keys_name_targets(spark):
+    from tracelake.operators.calls import service_edges
+
+    nodes = spark.createDataFrame(
+        [("g/a", "F", 1, 1, "http-out", "sink", None, None, "call()", None, "app.stock.url", None), ("g/a", "F", 2, 2, "http-out", "sink", None, None, "call()", None, "none.known", None)],
+        "repo string, file string, line int, ord long, family string, kind string, path string, host string, raw string, target_repo string, config_key string, client string",
+    )
+    repos = spark.createDataFrame([("g/a", "a", 1), ("g/stock", "stock", 2)], "repo string, name string, ord long")
+    edges, broken = service_edges(nodes, repos)
+    assert [(r["target_repo"], r["target_path"], r["confidence"]) for r in edges.collect()] == [("g/stock", "*", "medium")]
+    assert [r["ref"] for r in broken.collect()] == ["F:2"]

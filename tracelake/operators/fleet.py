@@ -120,8 +120,13 @@ def client_artifacts(dependencies: DataFrame) -> DataFrame:
 
 
 def demand(nodes: DataFrame) -> DataFrame:
-    """Services that outbound calls land on, with their consumers, calling classes and paths."""
+    """Services that outbound calls land on, with their consumers, calling classes and paths.
+
+    A call whose target a binding gave is no evidence for that binding and is left out.
+    """
     calls = nodes.where("family = 'http-out' and path is not null and path != ''").withColumn("norm", normalize_path(F.col("path")))
+    if "target_repo_evidence" in nodes.columns:
+        calls = calls.where(~F.coalesce(F.col("target_repo_evidence").startswith("api-client class"), F.lit(False)))
     calls = calls.where(F.size(significant_segments(F.col("norm"))) > 0)
     routes = route_index(nodes).select("norm", F.col("repo").alias("target_repo"), F.col("path").alias("target_path")).distinct()
     met = calls.select("norm", "repo", F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1).alias("cls")).distinct().join(match_routes(calls.select("norm"), routes.select("norm")), "norm").join(routes.withColumnRenamed("norm", "route_norm"), "route_norm").where("repo != target_repo")

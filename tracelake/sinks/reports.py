@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.sinks.catalogs import markdown_table, page
+from tracelake.sinks.catalogs import markdown_table, merged_with_manual, page, redacted
 
 HEADER = "<!-- trace target={target} path={path} upstream={upstream} -->"
 TBD = "| _TBD_ |"
@@ -22,6 +22,15 @@ def trace_page(target: str, path: str | None, facts: DataFrame, upstream: DataFr
     return page(f"Trace of {target}", head, "## Facts\n", markdown_table(own, ["repo"], 1), "## Upstream\n", markdown_table(callers, ["confidence", "source_repo", "kind"], most))
 
 
+def repo_page(repo: str, nodes: DataFrame, old: str | None = None, most: int = 500) -> str:
+    """A repository's page: counts by family and its first findings in a generated block; text around the block stays."""
+    own = nodes.where(F.col("repo") == repo)
+    counts = own.groupBy("family", "kind").agg(F.count(F.lit(1)).alias("n"))
+    shown = [c for c in ("family", "kind", "file", "line", "confidence", "raw") if c in own.columns]
+    body = page(repo, "## Counts\n", markdown_table(counts, ["family", "kind"], most), "## Nodes\n", markdown_table(redacted(own.select(*shown)), ["family", "file", "line"], most))
+    return merged_with_manual(old, body)
+
+
 def trace_headers(spark, path: str) -> DataFrame:
     """(target, path, upstream) of the trace pages below a path."""
     rows = spark.read.text(path, wholetext=True).select(F.substring("value", 1, 500).alias("t"))

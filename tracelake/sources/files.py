@@ -121,6 +121,31 @@ def indicators(spark: SparkSession, path: str) -> list[str]:
     return [r["w"] for r in rows.limit(10_000).collect()]
 
 
+def internal_patterns(spark: SparkSession, path: str | None = None, extra: list[str] | None = None, default: tuple[str, ...] = (r"^com\.acme\.",)) -> list[str]:
+    """Patterns of the organisation's coordinates: a JSON list or {"patterns": [...]} of a file if there is one, else the default, and extra ones. A pattern that does not compile is an error."""
+    import json
+    import re
+
+    patterns = list(default)
+    if path:
+        text = spark.read.text(path, wholetext=True).first()["value"]
+        got = json.loads(text)
+        patterns = list(got["patterns"] if isinstance(got, dict) else got)
+    patterns += extra or []
+    for p in patterns:
+        re.compile(p)
+    return patterns
+
+
+def limits_hit(notes: DataFrame) -> DataFrame:
+    """(limit, repos): how many repositories have notes (repo, note) of each limit that a scan ran into."""
+    kinds = {"oversized line": "line length", "binary": "binary content", "matched configured indicator": "indicator", "parse failed": "parse", "timed out": "time"}
+    hit = F.lit(None).cast("string")
+    for text, kind in kinds.items():
+        hit = F.when(F.contains("note", F.lit(text)), kind).otherwise(hit)
+    return notes.withColumn("limit", hit).where("limit is not null").groupBy("limit").agg(F.count_distinct("repo").alias("repos"))
+
+
 def build_systems(files: DataFrame) -> DataFrame:
     """Each repository's build systems by marker files at any depth."""
     name = F.element_at(F.split("file", "/"), -1)
