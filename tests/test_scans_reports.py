@@ -97,3 +97,25 @@ def test_config_keys_name_targets(spark):
     edges, broken = service_edges(nodes, repos)
     assert [(r["target_repo"], r["target_path"], r["confidence"]) for r in edges.collect()] == [("g/stock", "*", "medium")]
     assert [r["ref"] for r in broken.collect()] == ["F:2"]
+
+
+def test_small_tables(spark):
+    from pyspark.sql import functions as F
+
+    from tracelake.functions import fields, paths, text
+    from tracelake.sinks import catalogs
+    from tracelake.sources import files
+
+    marks = spark.createDataFrame([("g/a", "pom.xml"), ("g/a", "x/package.json"), ("g/b", "README.md")], "repo string, file string")
+    assert {(r["repo"], tuple(r["build_systems"])) for r in files.build_systems(marks).collect()} == {("g/a", ("maven", "npm"))}
+    deps = spark.createDataFrame([("g/a", "com.acme.x", "lib", "1"), ("g/b", "com.acme.x", "lib", "2"), ("g/b", "org.apache.y", "z", "1")], "repo string, group_id string, artifact_id string, version string")
+    assert [tuple(r["frameworks"]) for r in files.frameworks(deps, {"apache": "apache"}).collect()] == [("apache",)]
+    found = spark.createDataFrame([("com.acme.x", "lib", "g/lib")], "group_id string, artifact_id string, clone_path string")
+    own = catalogs.library_map(deps, found, None, ["^com[.]acme"])
+    assert [(r["coordinate"], r["clone_path"], r["consumers"], r["status"]) for r in own.collect()] == [("com.acme.x:lib", "g/lib", 2, "pending")]
+    before = spark.createDataFrame([("com.acme.x:lib", "by/hand", "accepted", "n")], "coordinate string, clone_path string, status string, notes string")
+    kept = catalogs.library_map(deps, found, before, ["^com[.]acme"]).first()
+    assert (kept["clone_path"], kept["status"], kept["versions"]) == ("by/hand", "accepted", ["1", "2"])
+    one = spark.createDataFrame([("org.acme.t:lib-a", "a\nb\nc", 4)], "c string, t string, at int")
+    got = one.select(paths.clone_path(F.col("c")).alias("p"), text.line_of_offset(F.col("t"), F.col("at")).alias("n"), fields.is_internal(F.col("c"), ["acme"]).alias("i")).first()
+    assert (got["p"], got["n"], got["i"]) == ("t/lib-a", 3, True)

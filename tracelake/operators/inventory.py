@@ -94,7 +94,7 @@ def most_common(df: DataFrame, key: str, value: str, most: int) -> DataFrame:
     """(key, value, n): each key's most frequent values, the first seen on a tie."""
     counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("_first"))
     order = Window.partitionBy(key).orderBy(F.desc("n"), "_first")
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("_first")
+    return counts.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most).drop("_first")
 
 
 def public_paths(nodes: DataFrame, most: int = 10) -> DataFrame:
@@ -103,7 +103,7 @@ def public_paths(nodes: DataFrame, most: int = 10) -> DataFrame:
     order = Window.partitionBy("repo").orderBy("ord")
     rows = nodes.where(F.col("family").isin("auth", "http-in")).withColumn("open", F.max(F.when(opens, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     found = rows.where("family = 'http-in' and open = 1 and path is not null and path != ''")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("repo", "path", "rank")
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most).select("repo", "path", "rank")
 
 
 def auth_cards(nodes: DataFrame, repos: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def tainted_paths(entries: DataFrame, declarations: DataFrame, resolved: DataFra
     hit = carried(F.col("text"), F.col("tainted"))
     found = every.join(sinks.select("repo", "scope", "sink_id", "text"), ["repo", "scope"]).withColumn("tainted_at_sink", hit).where("tainted_at_sink is not null")
     weakest = F.coalesce(F.array_min(F.transform("hops", lambda h: confidence_rank(h["confidence"]))), F.lit(3))
-    out = found.select("entry_id", "sink_id", "repo", F.size("hops").alias("n_hops"), weakest.alias("_rank"), F.array_join("scopes", ">").alias("path"), "tainted_at_sink", F.transform("hops", lambda h: h["ord"]).alias("_ords"))
+    out = found.select("entry_id", "sink_id", "repo", F.size("hops").cast("long").alias("n_hops"), weakest.alias("_rank"), F.array_join("scopes", ">").alias("path"), "tainted_at_sink", F.transform("hops", lambda h: h["ord"]).alias("_ords"))
     out = out.withColumn("confidence", F.when(F.col("_rank") == 3, "high").when(F.col("_rank") == 2, "medium").otherwise("low"))
     cut = F.lit(False)
     if stopped:

@@ -294,7 +294,7 @@ def _(repo):
 _LANG = "case line % 3 when 0 then 'a' when 1 then 'b' else 'c' end"
 
 
-@query("language_breakdown", f"select repo, language as primary_language, n_files from (select repo, language, sum(n) over (partition by repo) as n_files, row_number() over (partition by repo order by n desc, f) as k from (select repo, {_LANG} as language, count(*) as n, min(ord) as f from node group by 1, 2)) where k = 1")
+@query("language_breakdown", f"select repo, language as primary_language, n_files from (select repo, language, cast(sum(n) over (partition by repo) as bigint) as n_files, row_number() over (partition by repo order by n desc, f) as k from (select repo, {_LANG} as language, count(*) as n, min(ord) as f from node group by 1, 2)) where k = 1")
 def _(node):
     return inventory.language_breakdown(node.select("repo", F.expr(_LANG).alias("language"), "ord"))
 
