@@ -24,7 +24,7 @@ PRETOKEN = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{
 #: Any other character: such a text goes through the library as a whole.
 UNUSUAL = re.compile("[^\\x00-ɏ‐-‧‰-⁞€]")
 #: Pre-tokens that a worker remembers at most (but for those of one batch). Bounds memory only: results do not depend on it.
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES = 600_000
 
 
 class Vocabulary:
@@ -59,13 +59,13 @@ def pretokens(text: str, specials: tuple[str, ...]) -> list[str] | None:
 class Memo(dict):
     """Pre-tokens' ids; a pre-token that is not there yet stands for itself and is listed as new.
 
-    When it is full, what was used since then is kept and the rest forgotten at the next time: pre-tokens in use stay.
+    It looks into the one before it, so pre-tokens in use move on and the rest is forgotten with that one.
     """
 
-    def __init__(self):
+    def __init__(self, old: dict | None = None):
         super().__init__()
         self.new: list[str] = []
-        self.old: dict = {}
+        self.old: dict = {} if old is None else old
 
     def __missing__(self, word: str) -> bytes | str:
         known = self.old.get(word)
@@ -75,12 +75,6 @@ class Memo(dict):
         self[word] = known
         return known
 
-    def trim(self) -> None:
-        if len(self) > MEMO_ENTRIES // 2:
-            self.old = dict(self)
-            self.clear()
-
-
 class Encoder:
     """Ids of whole texts by the tokenizers library, as little-endian unsigned integers of `dtype`.
 
@@ -125,8 +119,10 @@ class Encoder:
 
     def many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
+        if len(self.memo) > MEMO_ENTRIES // 2:
+            self.memo.old = {}
+            self.memo = Memo(self.memo)
         memo = self.memo
-        memo.trim()
         parts: list[list | None] = []
         for text in texts:
             words = pretokens(text, self.specials) if self.split else None
