@@ -33,8 +33,8 @@ MARK = "▁"
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
-#: Words that a worker remembers; beyond it starts anew.
-MEMO_ENTRIES = 300_000
+#: Words that a worker remembers at most.
+MEMO_ENTRIES = 500_000
 
 
 def _fields(data: bytes):
@@ -119,6 +119,26 @@ class DoubleArray:
                 yield at, value[state]
 
 
+class Memo(dict):
+    """Segmented words: (ids, score, characters without a piece). It looks into the one before it, so words in use move on."""
+
+    def __init__(self, model: Unigram, old: dict | None = None):
+        super().__init__()
+        self.model = model
+        self.old = {} if old is None else old
+
+    def __missing__(self, word: str) -> tuple[bytes, float, int]:
+        known = self.old.get(word)
+        if known is None:
+            ids, score, unknown = self.model.segment(word)
+            known = struct.pack(f"<{len(ids)}I", *ids), score, unknown
+        self[word] = known
+        return known
+
+    def __reduce__(self):
+        return Memo, (self.model,)
+
+
 class Unigram:
     def __init__(self, model: bytes):
         self.pieces: list[bytes] = []
@@ -144,39 +164,60 @@ class Unigram:
         self.bytes = {int(self.pieces[k][3:5], 16): k for k, kind in enumerate(self.kinds) if kind == BYTE}
         # Words can be segmented one by one if a piece's markers all come first.
         self.by_word = all(MARK not in self.pieces[k].decode("utf-8", "replace").lstrip(MARK) for k in own)
-        self.memo: dict[str, tuple[bytes, float, int]] = {}
+        self.own_scores = [self.scores[k] for k in own]
+        self.memo = Memo(self)
 
     def segment(self, text: str) -> tuple[list[int], float, int]:
-        """(ids, score, characters without a piece) of a marked text, by Viterbi."""
+        """(ids, score, characters without a piece) of a marked text, by Viterbi. Steps along the trie stand here in full: this is the inner loop."""
         data = text.encode("utf-8", "replace")
         n = len(data)
-        best = [-np.inf] * (n + 1)
+        base, check, value, slots = self.trie.base, self.trie.check, self.trie.value, len(self.trie.check)
+        numbers, scores, floor, low = self.numbers, self.own_scores, self.floor, -np.inf
+        best = [low] * (n + 1)
         best[0] = 0.0
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
-        numbers, scores = self.numbers, self.scores
+        back = [0] * (n + 1)
+        piece = [-1] * (n + 1)
         at = 0
         while at < n:
-            size = 1 if data[at] < 128 else 2 if data[at] < 224 else 3 if data[at] < 240 else 4
-            base, single = best[at], False
-            for end, k in self.trie.prefixes(data, at):
-                score = base + scores[numbers[k]]
-                single |= end == at + size
-                if score > best[end]:
-                    best[end], back[end] = score, (at, numbers[k])
-            if not single and base + self.floor > best[at + size]:
-                best[at + size], back[at + size] = base + self.floor, (at, -1)
-            at += size
+            first = data[at]
+            single = at + (1 if first < 128 else 2 if first < 224 else 3 if first < 240 else 4)
+            so_far, covered = best[at], False
+            state, end = 0, at
+            while end < n:
+                step = base[state]
+                if not step:
+                    break
+                step += data[end]
+                if step >= slots or check[step] != state:
+                    break
+                state = step
+                end += 1
+                k = value[state]
+                if k >= 0:
+                    score = so_far + scores[k]
+                    if end == single:
+                        covered = True
+                    if score > best[end]:
+                        best[end] = score
+                        back[end] = at
+                        piece[end] = k
+            if not covered and so_far + floor > best[single]:
+                best[single] = so_far + floor
+                back[single] = at
+                piece[single] = -1
+            at = single
         ids: list[int] = []
         end, unknown = n, 0
         while end > 0:
-            at, k = back[end]
+            at, k = back[end], piece[end]
             if k >= 0:
-                ids.append(k)
+                ids.append(numbers[k])
             else:
                 unknown += 1
                 ids += [self.bytes[b] for b in reversed(data[at:end])] if self.bytes else [self.unknown]
             end = at
-        return ids[::-1], best[n], unknown
+        ids.reverse()
+        return ids, best[n], unknown
 
     def marked(self, text: str) -> str:
         return (MARK if self.dummy_prefix and text else "") + text.replace(" ", MARK)
@@ -184,21 +225,17 @@ class Unigram:
     def encode(self, text: str) -> tuple[bytes, float, int]:
         """(ids as little-endian unsigned 32-bit, score, characters without a piece)."""
         words = WORDS.findall(self.marked(text)) if self.by_word else [self.marked(text)] if text else []
-        memo = self.memo
-        new = [w for w in set(words) if w not in memo]
-        if new:
-            if len(memo) + len(new) > MEMO_ENTRIES:
-                memo.clear()
-                new = list(set(words))
-            for w in new:
-                ids, score, unknown = self.segment(w)
-                memo[w] = np.array(ids, dtype="<u4").tobytes(), score, unknown
-        parts = [memo[w] for w in words]
-        return b"".join([p[0] for p in parts]), float(sum([p[1] for p in parts])), sum([p[2] for p in parts])
+        if not words:
+            return b"", 0.0, 0
+        if len(self.memo) > MEMO_ENTRIES // 2:
+            self.memo.old = {}
+            self.memo = Memo(self, self.memo)
+        ids, scores, unknown = zip(*map(self.memo.__getitem__, words), strict=True)
+        return b"".join(ids), float(sum(scores)), sum(unknown)
 
     def decode(self, ids: bytes) -> str:
         raw = self.raw
-        text = b"".join([raw[k] for k in np.frombuffer(ids, dtype="<u4").tolist()]).decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(raw.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
     @property
