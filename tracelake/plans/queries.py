@@ -539,6 +539,47 @@ def _(node):
 
 _recursive("taint_shortest_strongest", ", best as (select *, row_number() over (partition by entry_id, sink_id order by n_hops, rk desc, ords) as k from paths) select entry_id, sink_id, repo, n_hops, path, confidence from best where k = 1")
 
+# The same over all repositories, lines, sinks and entries, to any depth; the queries above stay as narrow as their SQL.
+
+
+def _whole(statement: str, *cuts: str) -> str:
+    for x in cuts:
+        assert x in statement, x
+        statement = statement.replace(x, "")
+    return statement
+
+
+_TAINT_CUTS = (" and repo like '%3'", " and line < 60", " and line % 5 = 0", " and line % 12 < 3")
+_TAINT_ALL = [_whole(x, *[c for c in _TAINT_CUTS if c in x]) for x in (_DECL, _HOPS, _SINKS, _ENTRIES)]
+S_TAINT_ALL = _whole(S_TAINT, *_TAINT_CUTS, "len(w.ords) < 5 and ")
+
+
+def _taint_all(node):
+    decl, hops, sinks, entries = (node.sparkSession.sql(x, node=node) for x in _TAINT_ALL)
+    decl = decl.withColumn("params", F.split("params", ","))
+    resolved = hops.withColumn("arguments", F.split("arguments", ",")).join(decl.select("repo", F.col("scope").alias("to_scope"), F.col("params").alias("to_params")), ["repo", "to_scope"]).withColumn("tier", F.lit("T1"))
+    return resolve.tainted_paths(entries, decl, resolved, sinks)
+
+
+def _recursive_all(name: str, tail: str):
+    SQL[name] = "with recursive " + sql("+" + S_TAINT_ALL.removeprefix("recursive ") + tail, "node").removeprefix("with ")
+
+
+@query("tainted_paths_recursive_all")
+def _(node):
+    return _taint_all(node).select("entry_id", "sink_id", "repo", "n_hops", "path", "tainted_at_sink", "confidence", "search_truncated")
+
+
+_recursive_all("tainted_paths_recursive_all", " select entry_id, sink_id, repo, n_hops, path, tainted_at_sink, confidence, false as search_truncated from paths")
+
+
+@query("taint_shortest_strongest_all")
+def _(node):
+    return resolve.shortest_strongest(_taint_all(node)).select("entry_id", "sink_id", "repo", "n_hops", "path", "confidence", "search_truncated")
+
+
+_recursive_all("taint_shortest_strongest_all", ", best as (select *, row_number() over (partition by entry_id, sink_id order by n_hops, rk desc, ords) as k from paths) select entry_id, sink_id, repo, n_hops, path, confidence, false as search_truncated from best where k = 1")
+
 # Producers, traces, libraries, discovery.
 
 S_HITS = """outs as (select * from node where family = 'http-out' and kind = 'sink'),
