@@ -46,3 +46,30 @@ def test_tainted_paths_of_all_repositories_to_any_depth(spark):
     assert sorted((r["entry_id"], r["sink_id"], r["n_hops"], r["path"]) for r in got) == plain_paths(spark, frame(spark, SF, "node"))
     assert len({r["repo"] for r in got if not r["repo"].endswith("3")}) > 1
     assert not any(r["search_truncated"] for r in got)
+
+
+def test_calls_of_all_repositories_are_resolved(spark):
+    node = frame(spark, SF, "node")
+    calls, methods, types, fields, supers = ([tuple(r) for r in spark.sql(x, node=node).collect()] for x in Q._SYMBOLS_ALL)
+    kinds = {(r, c): i for r, c, i in types}
+    held, named = set(methods), defaultdict(list)
+    for r, c, m in methods:
+        named[r, m].append(c)
+    want = []
+    for call_id, repo, owner, _, symbol, receiver, self_name, _ in calls:
+        field = re.sub(r"^(this|self)\.", "", receiver or "")
+        if self_name and field.startswith(self_name + "."):
+            field = field[len(self_name) + 1 :]
+        found = []
+        for r, c, f, t in fields:
+            if (r, c, f) == (repo, owner, field):
+                if not kinds.get((repo, t)):
+                    found += [("T1", t)] if (repo, t, symbol) in held else []
+                else:
+                    found += [("T2", k) for q, k, s in supers if (q, s) == (repo, t) and (repo, k, symbol) in held]
+        if not found and len(named[repo, symbol]) == 1:
+            found = [("T3", named[repo, symbol][0])]
+        want += [(call_id, repo, tier, c) for tier, c in found]
+    got = registry.queries()["call_resolution_tiers_all"](spark, SF).collect()
+    assert sorted((r["call_id"], r["repo"], r["tier"], r["to_class"]) for r in got) == sorted(want)
+    assert len({r["repo"] for r in got if not r["repo"].endswith("7")}) > 1

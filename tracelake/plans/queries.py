@@ -580,6 +580,15 @@ def _(node):
 
 _recursive_all("taint_shortest_strongest_all", ", best as (select *, row_number() over (partition by entry_id, sink_id order by n_hops, rk desc, ords) as k from paths) select entry_id, sink_id, repo, n_hops, path, confidence, false as search_truncated from best where k = 1")
 
+_SYMBOL_CUTS = (" and ord % 3 = 0", " and repo like '%7'")
+_SYMBOLS_ALL = [_whole(x, *[c for c in _SYMBOL_CUTS if c in x]) for x in (_CALLS, _METHODS, _TYPES, _FIELDSQ, _SUPERS)]
+
+
+@query("call_resolution_tiers_all", f"+{_whole(S_RESOLVE, *_SYMBOL_CUTS)} select call_id, repo, symbol, tier, to_class, ambiguous, confidence from graded")
+def _(node):
+    return resolve.resolve_calls(*[node.sparkSession.sql(x, node=node) for x in _SYMBOLS_ALL]).select("call_id", "repo", "symbol", "tier", "to_class", "ambiguous", "confidence")
+
+
 # Producers, traces, libraries, discovery.
 
 S_HITS = """outs as (select * from node where family = 'http-out' and kind = 'sink'),
