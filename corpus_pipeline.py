@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import language_crf, packing, quality_rules, simhash
+from tracelake.llm import language_crf, near_copies, packing, quality_rules
 from tracelake.llm.common import stored, table
 from tracelake.llm.queries import vocabulary
 
@@ -26,11 +26,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group stays, the one with the smallest doc_id; rows without doc_id come last, and of equal ones the first read."""
+    """One row of each group stays, groups being joined by similarities of five-word shingles of 0.8 or more: the one with the smallest doc_id; rows without doc_id come last, and of equal ones the first read."""
     rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = simhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    groups = near_copies.near_copies(rows.select(F.col("_row").alias("row"), "text")).select(F.col("row").alias("_row"), "group")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    kept = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min(order).alias("first")).select("first._row")
+    kept = rows.select("_row", "doc_id").join(groups, "_row").groupBy("group").agg(F.min(order).alias("first")).select("first._row")
     return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 

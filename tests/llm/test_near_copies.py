@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from tracelake.llm import near_copies
 
 
 def sentence(seed, n=60):
@@ -11,3 +12,58 @@ def test_the_stage_keeps_one_row_of_each_group_by_row(spark, docs):
     rows = [(None, sentence(1)), (None, sentence(2)), (None, sentence(2)), (3, sentence(3)), (5, "zzz " + sentence(4)), (5, sentence(3)), (5, sentence(5)), (None, sentence(3))]
     kept = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs(rows), "").collect())
     assert kept == sorted([(0, sentence(1)), (0, sentence(2)), (3, sentence(3)), (5, "zzz " + sentence(4)), (5, sentence(5))])
+
+
+def plain_groups(rows):
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+    sets = [shingles(t or "") for _, t in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        before = list(group)
+        for a in range(len(rows)):
+            for b in range(a):
+                if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                    group[a] = group[b] = min(group[a], group[b])
+        if group == before:
+            break
+    return {rows[k][0]: rows[g][0] for k, g in enumerate(group)}
+
+
+def corpus():
+    rng = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = [None, "", " ", "x", "X", "a b", "a b c d", "a b c d e", "a b c d e f"]
+    for k in range(25):
+        words = sentence(100 + k, rng.randint(20, 250)).split()
+        for _ in range(rng.randint(1, 5)):  # copies of copies, by which chains arise
+            words = list(words)
+            for _ in range(rng.randint(0, 6)):
+                words[rng.randrange(len(words))] = f"c{rng.random()}"
+            texts.append(" ".join(words) + (f" {passage}" if rng.random() < 0.4 else ""))
+    words = sentence(7, 150).split()
+    texts += [" ".join([*words[:k], "new", str(k), *words[k:]]) for k in range(0, 150, 3)]
+    return list(enumerate(texts))
+
+
+def test_near_copies_equal_brute_force(spark):
+    rows = corpus()
+    got = near_copies.near_copies(spark.createDataFrame(rows, "row long, text string")).collect()
+    assert {r["row"]: r["group"] for r in got} == plain_groups(rows)
+
+
+def test_pairs_that_stars_leave_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "STARS", 0)
+    test_near_copies_equal_brute_force(spark)
+
+
+def test_the_stage_finds_copies_beyond_the_radius_of_simhash(spark, docs):
+    from tracelake.llm import simhash
+
+    words = sentence(12, 100).split()
+    far = [w if k not in (20, 70) else "other" for k, w in enumerate(words)]
+    one, two = " ".join(words), " ".join(far)
+    assert (simhash.fingerprint(one) ^ simhash.fingerprint(two)).bit_count() > simhash.RADIUS
+    assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs([(1, one), (2, two)]), "").collect()] == [1]
