@@ -2,10 +2,10 @@
 
 1. A url's host and path are cut out; a rule (host, path prefix) fits its host and all subdomains of it if the path starts with
    its prefix; the longest rule wins.
-2. The tree: a path's segments that hold a digit, or are longer than LONG, become `*`; segments beyond DEPTH become one `**`.
-   Urls are then summed by host and template, which is all that the tree is built from. Level by level, a segment becomes `*`
+2. The tree: a path's segments that hold a digit, or are longer than LONG, become `*`. Urls are then summed by host and
+   template, which is all that the tree is built from. Level by level, down to the longest path's last, a segment becomes `*`
    where more than VARIETY different ones stand under one parent.
-3. Merging: level by level, branches that differ in one segment are pooled; a branch whose share of bad labels does not differ
+3. Merging: level by level again, branches that differ in one segment are pooled; a branch whose share of bad labels does not differ
    from its pool's by more than Z standard errors joins the pool (`~`).
 4. A template's purity is its labelled pages' share of bad ones, drawn towards the share of all labelled pages with the weight
    of PRIOR pages. A template is rejected if that reaches REJECT. Other pages are allowed.
@@ -14,7 +14,10 @@ A page's label is that of the document whose id is the last all-digit segment (o
 label says quality 0 or toxic 1.
 
 All of it is joins and aggregations. A hot host's pages are pre-summed by template in the map tasks; the joins back to pages
-are by (host, template) and can be split by Spark where a template is hot. One row goes to the driver, the overall share.
+are by (host, template) and can be split by Spark where a template is hot. Two rows go to the driver: the number of levels and the
+overall share. A level works on the templates that reach it only, and its result is stored every few levels.
+
+sql() is the same for paths of up to DEPTH segments; deeper ones it cuts at DEPTH, which judge() does not.
 
 Defined cases: a null url, or one without ://, has empty host and path, no rule and verdict allow; null labels are no labels;
 repeated pages are counted and judged each; a null page_id stays null; empty tables give no rows or no rejections; other
@@ -30,7 +33,10 @@ from tracelake.llm.common import stored
 
 #: (host, path prefix, verdict)
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+#: Segments that sql() tells apart.
 DEPTH = 3
+#: Levels after which lineage is cut.
+LEVELS = 3
 LONG = 24
 VARIETY = 20
 Z = 1.96
@@ -59,8 +65,7 @@ def with_rule(rows: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
 def template() -> F.Column:
     """The path's first template: an array of segments."""
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    general = F.transform(parts, lambda s: F.when(s.rlike("[0-9]") | (F.length(s) > LONG), "*").otherwise(s))
-    return F.when(F.size(general) > DEPTH, F.concat(F.slice(general, 1, DEPTH), F.array(F.lit("**")))).otherwise(general)
+    return F.transform(parts, lambda s: F.when(s.rlike("[0-9]") | (F.length(s) > LONG), "*").otherwise(s))
 
 
 def _masked(level: int) -> F.Column:
@@ -76,26 +81,39 @@ def _summed(tree: DataFrame) -> DataFrame:
     return tree.groupBy("host", "t").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
 
 
-def generalised(shapes: DataFrame, variety: int = VARIETY) -> DataFrame:
+def _each_level(shapes: DataFrame, depth: int, step) -> DataFrame:
+    """step(rows, level) for each level, over the shapes that have it; the others stay."""
+    for level in range(depth):
+        if level and level % LEVELS == 0:
+            shapes = stored(shapes, "levels")
+        shapes = shapes.where(F.size("t") <= level).select("host", "first", "t", "labelled", "bad").unionByName(step(shapes.where(F.size("t") > level), level).select("host", "first", "t", "labelled", "bad"))
+    return shapes
+
+
+def generalised(shapes: DataFrame, depth: int, variety: int = VARIETY) -> DataFrame:
     """shapes (host, first, t, labelled, bad): t with segments of great variety as `*`."""
-    for level in range(DEPTH):
+
+    def step(shapes: DataFrame, level: int) -> DataFrame:
         literal = (F.size("t") > level) & (F.get("t", F.lit(level)) != "*")
         keyed = shapes.withColumn("_parent", F.slice("t", 1, level)).withColumn("_own", F.when(literal, F.get("t", F.lit(level))))
         kinds = keyed.where("_own is not null").select("host", "_parent", "_own").distinct().groupBy("host", "_parent").agg(F.count(F.lit(1)).alias("_kinds"))
-        shapes = keyed.join(kinds, ["host", "_parent"], "left").withColumn("t", _replaced(level, "*", F.col("_own").isNotNull() & (F.col("_kinds") > variety))).drop("_parent", "_own", "_kinds")
-    return shapes
+        return keyed.join(kinds, ["host", "_parent"], "left").withColumn("t", _replaced(level, "*", F.col("_own").isNotNull() & (F.col("_kinds") > variety))).drop("_parent", "_own", "_kinds")
+
+    return _each_level(shapes, depth, step)
 
 
-def merged(shapes: DataFrame, z: float = Z) -> DataFrame:
+def merged(shapes: DataFrame, depth: int, z: float = Z) -> DataFrame:
     """shapes: t with statistically similar branches pooled as `~`."""
-    for level in range(DEPTH):
+
+    def step(shapes: DataFrame, level: int) -> DataFrame:
         branches = _summed(shapes).where(F.size("t") > level).withColumn("_pool", _masked(level))
         pools = branches.groupBy("host", "_pool").agg(F.sum("labelled").alias("_n"), F.sum("bad").alias("_b"), F.count(F.lit(1)).alias("_branches"))
         share = (F.col("_b") + 1) / (F.col("_n") + 2)
         near = F.abs(F.col("bad") - F.col("labelled") * share) <= z * F.sqrt(F.col("labelled") * share * (1 - share))
         similar = branches.join(pools, ["host", "_pool"]).where((F.col("_branches") > 1) & near).select("host", "t", F.lit(True).alias("_similar"))
-        shapes = shapes.join(similar, ["host", "t"], "left").withColumn("t", _replaced(level, "~", F.col("_similar").isNotNull())).drop("_similar")
-    return shapes
+        return shapes.join(similar, ["host", "t"], "left").withColumn("t", _replaced(level, "~", F.col("_similar").isNotNull())).drop("_similar")
+
+    return _each_level(shapes, depth, step)
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] | None = None, prior: float = PRIOR, reject: float = REJECT) -> DataFrame:
@@ -110,7 +128,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     plain = by_document.select("host", "first", F.lit(0).cast("long").alias("labelled"), F.lit(0).cast("long").alias("bad"))
     shapes = known.unionAll(plain).groupBy("host", "first").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
     shapes = stored(shapes.withColumn("t", F.when(F.col("first") == "", F.array().cast("array<string>")).otherwise(F.split("first", "/"))), "shapes")
-    tree = stored(merged(stored(generalised(shapes), "templates")), "merged")
+    depth = shapes.agg(F.max(F.size("t"))).first()[0] or 0
+    tree = stored(merged(stored(generalised(shapes, depth), "templates"), depth), "merged")
     total = tree.agg(F.sum("bad"), F.sum("labelled")).first()
     overall = float(total[0] or 0) / float(total[1]) if total[1] else 0.0
     purity = (F.col("bad") + F.lit(prior * overall)) / (F.col("labelled") + F.lit(prior))
