@@ -73,3 +73,13 @@ def test_calls_of_all_repositories_are_resolved(spark):
     got = registry.queries()["call_resolution_tiers_all"](spark, SF).collect()
     assert sorted((r["call_id"], r["repo"], r["tier"], r["to_class"]) for r in got) == sorted(want)
     assert len({r["repo"] for r in got if not r["repo"].endswith("7")}) > 1
+
+
+def test_lines_beyond_the_narrow_ones_count(spark, tmp_path):
+    items = [(1, 5, 1, 1), (100, 5, 2, 2), (200, 6, 2, 1), (50, 10, 3, 1), (60, 13, 3, 1), (51, 10, 4, 1)]
+    rows = [(o, p, s, n, "A") for o, p, s, n in items]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = lambda name: [tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect()]
+    assert got("queue_orphans_all") == [("topic-6", 0, 1)]
+    assert got("trace_coverage_intersect_all") == [("g3/svc-3",)]
+    assert got("trace_coverage_except_all") == [("g4/svc-4",)]

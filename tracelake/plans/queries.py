@@ -109,6 +109,11 @@ def _(node):
     return inventory.queue_graph(node.where("line < 40")).where("produce_only or consume_only").select("topic", "n_producers", "n_consumers")
 
 
+@query("queue_orphans_all", "select topic, count(distinct repo) filter (where family = 'queue-pub') as n_producers, count(distinct repo) filter (where family = 'queue-sub') as n_consumers from node where family in ('queue-pub', 'queue-sub') group by topic having n_producers = 0 or n_consumers = 0")
+def _(node):
+    return inventory.queue_graph(node).where("produce_only or consume_only").select("topic", "n_producers", "n_consumers")
+
+
 _STORE_KEY = r"""case vendor when 'jdbc' then case when regexp_matches(url, '(?i)jdbc:([a-z0-9]+)://([^/\s"'';?]+)') then concat('jdbc:', lower(regexp_extract(url, '(?i)jdbc:([a-z0-9]+)://([^/\s"'';?]+)(?:/([A-Za-z0-9_\-]+))?', 1)), '://', lower(regexp_extract(url, '(?i)jdbc:([a-z0-9]+)://([^/\s"'';?]+)(?:/([A-Za-z0-9_\-]+))?', 2)), '/', regexp_extract(url, '(?i)jdbc:([a-z0-9]+)://([^/\s"'';?]+)(?:/([A-Za-z0-9_\-]+))?', 3)) else concat('jdbc:unknown:', left(url, 80)) end
 when 'mongodb' then concat('mongodb://', case when regexp_matches(url, '(?i)mongodb(?:\+srv)?://([^/\s"'';?]+)') then lower(regexp_extract(url, '(?i)mongodb(?:\+srv)?://([^/\s"'';?]+)', 1)) else left(url, 80) end)
 when 'redis' then concat('redis://', case when regexp_matches(url, '(?i)rediss?://([^/\s"'';?]+)') then lower(regexp_extract(url, '(?i)rediss?://([^/\s"'';?]+)', 1)) else left(url, 80) end)
@@ -464,6 +469,11 @@ def _(node):
     return derive.prune_calls(node, node.where("family = 'sql' and line < 30")).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("prune_unresolvable_semi_all", "select family, count(*) as n from node n where family <> 'call-site' or library_hint is not null or exists (select 1 from node d where d.family = 'sql' and d.repo = n.repo and d.symbol = n.symbol) group by family")
+def _(node):
+    return derive.prune_calls(node, node.where("family = 'sql'")).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Symbol tables of a repository, projected: classes C0..C5 whose fields f0..f2 are of classes; C1 and C4 are interfaces.
 _CALLS = "select ord as call_id, repo, concat('C', cast(line % 6 as string)) as owner, concat('m', cast(line % 5 as string)) as method, concat('m', cast(ord % 9 as string)) as symbol, case ord % 5 when 0 then 'this.f0' when 1 then 'f1' when 2 then 's.f2' when 3 then 'a.b' end as receiver, case when line % 2 = 0 then 's' end as self_name, line from {node} where family = 'call-site' and repo like '%7'"
 _METHODS = "select distinct repo, concat('C', cast(line % 6 as string)) as class, concat('m', cast(ord % 7 as string)) as method from {node} where family in ('sql', 'auth') and ord % 3 = 0 and repo like '%7'"
@@ -612,6 +622,12 @@ def _(node, dependency, binding):
     return fleet.trace_upstream(edges, fleet.producer_hits(node, dependency, binding), binding.select("target_repo").where("target_repo like '%1'"))
 
 
+@query("trace_upstream_strongest_all", f"+{S_HITS}, edges as (select distinct repo as source_repo, target_repo, 'high' as confidence, 'api-client' as evidence from node where family = 'api-client-consumer' and target_repo is not null and repo <> target_repo), targets as (select target_repo from binding), u as (select target_repo, source_repo, 'graph' as kind, confidence, evidence from edges union all select target_repo, source_repo, concat('producer-', kind), confidence, evidence from hits) select * from u where target_repo in (select target_repo from targets)", _PROD)
+def _(node, dependency, binding):
+    edges = calls.api_client_edges(node).select("source_repo", "target_repo", F.lit("high").alias("confidence"), F.lit("api-client").alias("evidence")).distinct()
+    return fleet.trace_upstream(edges, fleet.producer_hits(node, dependency, binding), binding.select("target_repo"))
+
+
 @query("trace_target_facts", "select repo, count(*) filter (where family = 'http-in') as n_inbound, count(*) filter (where family = 'sql' and kind = 'sink' and coalesce(execution, true)) as n_sql_sinks, count(*) filter (where family = 'data-store') as n_stores from node where repo in (select target_repo from binding) group by repo", ("node", "binding"))
 def _(node, binding):
     return fleet.target_facts(node, binding)
@@ -630,6 +646,19 @@ def _(node):
     return fleet.coverage(node.where(_CATALOGUE), node.where(_TRACED))[1]
 
 
+_CATALOGUE_ALL, _TRACED_ALL = "family = 'sql-field-marker'", "family = 'api-client-consumer'"
+
+
+@query("trace_coverage_intersect_all", f"select distinct repo from node where {_CATALOGUE_ALL} intersect select distinct repo from node where {_TRACED_ALL}")
+def _(node):
+    return fleet.coverage(node.where(_CATALOGUE_ALL), node.where(_TRACED_ALL))[0]
+
+
+@query("trace_coverage_except_all", f"select distinct repo from node where {_CATALOGUE_ALL} except select distinct repo from node where {_TRACED_ALL}")
+def _(node):
+    return fleet.coverage(node.where(_CATALOGUE_ALL), node.where(_TRACED_ALL))[1]
+
+
 @query("library_consumers", f"select concat_ws(':', group_id, artifact_id) as coordinate, count(distinct repo) as n_consumers, {S_JOIN('version')} as versions from dependency group by 1", ("dependency",))
 def _(dependency):
     return fleet.library_consumers(dependency)
@@ -693,6 +722,12 @@ def _(node, repo, dependency):
     return fleet.screen_promotions(candidates, repo, node.where("family = 'http-in' and line < 12"))
 
 
+@query("promotion_screen_all", "+c as (select artifact_id, case when ord % 7 = 0 then '' when ord % 3 = 0 then concat(repo, 'x') else repo end as target_repo from dependency) select artifact_id, target_repo, case when target_repo = '' then 'no target' when target_repo not in (select repo from repo) then 'unknown target' when target_repo not in (select repo from node where family = 'http-in') then 'target has no endpoints' end as refusal from c", ("node", "repo", "dependency"))
+def _(node, repo, dependency):
+    candidates = dependency.selectExpr("artifact_id", "case when ord % 7 = 0 then '' when ord % 3 = 0 then concat(repo, 'x') else repo end as target_repo")
+    return fleet.screen_promotions(candidates, repo, node.where("family = 'http-in'"))
+
+
 @query("binding_upsert", "+a as (select target_repo, maven_artifact, concat(path, '/v2') as path, alias from binding where length(alias) % 2 = 0 union all select concat(target_repo, '-new'), maven_artifact, path, alias from binding where length(alias) % 2 = 0) select * from binding b where not exists (select 1 from a where a.target_repo = b.target_repo and a.maven_artifact = b.maven_artifact) union all select * from a", ("binding",))
 def _(binding):
     even = binding.where("length(alias) % 2 = 0")
