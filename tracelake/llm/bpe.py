@@ -8,25 +8,56 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+import unicodedata
 import zlib
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import SparkSession
 
 from tracelake.llm.common import worker_value
 
-# Letters, numbers and white space of Unicode up to U+024F, as the pre-tokenizer's \p{L}, \p{N} and \s know them.
-LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
-NUMBERS = "0-9²³¹¼-¾"
-SPACES = "\\t-\\r \\x85\\xa0"
-#: The byte-level pre-tokenizer's pattern for texts of those characters, dashes, quotes and the euro sign.
-PRETOKEN = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
-#: Any other character: such a text goes through the library as a whole.
-UNUSUAL = re.compile("[^\\x00-ɏ‐-‧‰-⁞€]")
+#: Characters beyond these make a text take the pattern of the whole plane, or of all planes, which are slower.
+BEYOND_LATIN = re.compile("[^\\x00-ɏ‐-‧‰-⁞€]")
+BEYOND_PLANE = re.compile("[\U00010000-\U0010ffff]")
+LATIN, PLANE, ALL = 0x24F, 0xFFFF, sys.maxunicode
 #: Pre-tokens that a worker remembers at most (but for those of one batch). Bounds memory only: results do not depend on it.
 MEMO_ENTRIES = 600_000
 
 
+def _in_class(kind: str, c: str) -> bool:
+    category = unicodedata.category(c)
+    return category == "Cn" if kind == "unassigned" else category[0] == "Z" or c in "\t\n\v\f\r\x85" if kind == "space" else category[0] == kind
+
+
+@lru_cache
+def character_class(kind: str, last: int) -> str:
+    """The characters up to `last` of a class (L, N, space or unassigned), as ranges for a regular expression."""
+    out, begin = [], None
+    for c in range(last + 2):
+        inside = c <= last and _in_class(kind, chr(c))
+        if inside and begin is None:
+            begin = c
+        elif not inside and begin is not None:
+            out.append(rf"\U{begin:08x}-\U{c - 1:08x}")
+            begin = None
+    return "".join(out)
+
+
+@lru_cache
+def pretoken_pattern(last: int) -> re.Pattern[str]:
+    """The byte-level pre-tokenizer's pattern for texts of characters up to `last`."""
+    letters, numbers, spaces = (character_class(k, last) for k in ("L", "N", "space"))
+    return re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{numbers}]+| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+")
+
+
+@lru_cache
+def unassigned() -> re.Pattern[str]:
+    """Characters that this Python's Unicode does not know: the library's may have given them a class."""
+    return re.compile(f"[{character_class('unassigned', ALL)}]")
+
+
 class Vocabulary:
     """A tokenizers .json file: its text, special strings and a digest that names it."""
 
@@ -44,16 +75,35 @@ def special_strings(spec: dict) -> tuple[str, ...]:
 
 
 def is_plain_byte_level(spec: dict) -> bool:
-    """True if the file's pre-tokenizer is the one that PRETOKEN stands for and nothing else touches text or ids."""
+    """True if the file's pre-tokenizer is the one that pretoken_pattern() stands for and nothing else touches text or ids."""
     pre = spec["pre_tokenizer"] or {}
-    return spec["normalizer"] is None and spec["post_processor"] is None and spec["model"]["type"] == "BPE" and not spec["model"].get("ignore_merges") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    plain = spec["normalizer"] is None and spec["post_processor"] is None and spec["model"]["type"] == "BPE" and not spec["model"].get("ignore_merges")
+    loose = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or not t["content"] for t in spec["added_tokens"])
+    return plain and not loose and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+
+
+@lru_cache
+def _special_pattern(specials: tuple[str, ...]) -> re.Pattern[str]:
+    return re.compile("(" + "|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True)) + ")")
 
 
 def pretokens(text: str, specials: tuple[str, ...]) -> list[str] | None:
-    """The pre-tokens, or None if the text holds a special string or unusual characters."""
-    if not text.isascii() and UNUSUAL.search(text) or any(s in text for s in specials):
-        return None
-    return PRETOKEN.findall(text)
+    """The pre-tokens, special strings among them as they stand; None if the text holds a character that is not assigned."""
+    last = LATIN
+    if not text.isascii() and BEYOND_LATIN.search(text):
+        if unassigned().search(text):
+            return None
+        last = ALL if BEYOND_PLANE.search(text) else PLANE
+    find = pretoken_pattern(last).findall
+    if not any(s in text for s in specials):
+        return find(text)
+    out: list[str] = []
+    for k, part in enumerate(_special_pattern(specials).split(text)):
+        if k % 2:
+            out.append(part)
+        else:
+            out += find(part)
+    return out
 
 
 class Memo(dict):
@@ -75,12 +125,13 @@ class Memo(dict):
         self[word] = known
         return known
 
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, as little-endian unsigned integers of `dtype`.
 
     Byte-level BPE encodes pre-tokens on their own, so ids of a text are its pre-tokens' ids in a row. The library encodes
-    each distinct pre-token of a batch once, newline-joined with the other new ones; a memo keeps the bytes. Other
-    vocabularies, and texts that pretokens() does not split, go to the library whole.
+    each distinct pre-token of a batch once, newline-joined with the other new ones; a memo keeps the bytes. A special string
+    is a pre-token of its own. Other vocabularies, and texts that pretokens() does not split, go to the library whole.
     """
 
     def __init__(self, text: str):
@@ -105,7 +156,7 @@ class Encoder:
         """Encodes the memo's new pre-tokens: one that is not all white space has none but a first space, so newlines part them."""
         memo, words = self.memo, self.memo.new
         memo.new = []
-        joined = [w for w in words if not w.isspace()]
+        joined = [w for w in words if not w.isspace() and w not in self.specials]
         ids = self._ids("\n".join(joined))
         ends = np.append(np.flatnonzero(ids == self.newline[0]), len(ids)) * self.dtype.itemsize
         if joined and len(ends) == len(joined):

@@ -5,9 +5,11 @@ name, and that the pre-tokenizer keeps as one pre-token, are proven: such a pre-
 merge other pre-tokens by rank and remember how many tokens they make.
 
 Counts equal those of the tokenizers library with its defaults: a special string inside a text is one token; no begin, end or
-added tokens; no truncation or padding.
+added tokens; no truncation or padding. Texts of any script go by this method; only one with a character that Python's Unicode
+does not know (the library may be of a later version) is counted by the library, as is every text of another kind of vocabulary.
 
-Defined cases: a null text counts as an empty one (0 bytes, 0 tokens); each row gives a row, repeated or without doc_id or not;
+Defined cases: a null text counts as an empty one (0 bytes, 0 tokens); texts are read whole, and a pre-token of any length is
+merged in n log n steps; each row gives a row, repeated or without doc_id or not; equally ranked pairs are merged from the left;
 an empty table gives no rows; other columns are ignored.
 """
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 import json
 import os
 from functools import cached_property
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +29,8 @@ from tracelake.llm.common import documents, map_arrow, worker_value
 LIMIT = 512
 #: Pre-tokens that a worker remembers; beyond it starts anew from the proven ones.
 MEMO_ENTRIES = 400_000
+#: Bytes beyond which a pre-token is merged by a heap, and characters beyond which it is not remembered.
+LONG_WORD, LONGEST_KEPT = 48, 256
 
 
 def byte_symbols() -> dict[int, str]:
@@ -46,6 +51,8 @@ class Merges:
     def tokens(self, word: str) -> list[str]:
         """The word's tokens: the lowest-ranked pair is merged wherever it stands, until no pair has a rank."""
         parts = [self.symbol[b] for b in word.encode()]
+        if len(parts) > LONG_WORD:
+            return self._long(parts)
         rank, none = self.rank.get, len(self.rank)
         while len(parts) > 1:
             ranks = [rank(pair, none) for pair in zip(parts, parts[1:], strict=False)]
@@ -65,6 +72,31 @@ class Merges:
             parts = out
         return parts
 
+    def _long(self, parts: list[str]) -> list[str]:
+        """The same by a heap of pairs over linked parts, in n log n steps."""
+        rank = self.rank.get
+        n = len(parts)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, k) for k in range(n - 1) if (r := rank((parts[k], parts[k + 1]))) is not None]
+        heapify(heap)
+        while heap:
+            r, k = heappop(heap)
+            j = after[k]
+            # A part that was merged into the one before it is empty; a pair that has changed since has another rank.
+            if j >= n or rank((parts[k], parts[j])) != r:
+                continue
+            parts[k] += parts[j]
+            parts[j] = ""
+            after[k] = m = after[j]
+            if m < n:
+                before[m] = k
+                if (r := rank((parts[k], parts[m]))) is not None:
+                    heappush(heap, (r, k))
+            i = before[k]
+            if i >= 0 and (r := rank((parts[i], parts[k]))) is not None:
+                heappush(heap, (r, i))
+        return [p for p in parts if p]
+
 
 def whole_tokens(spec: dict) -> list[str]:
     """The vocabulary strings proven to encode alone as one token, as text."""
@@ -76,7 +108,7 @@ def whole_tokens(spec: dict) -> list[str]:
             text = bytes(byte[c] for c in token).decode()
         except (KeyError, UnicodeDecodeError):
             continue  # not the bytes of whole characters: no text has it as a pre-token
-        if pretokens(text, special_strings(spec)) == [text] and merges.tokens(text) == [token]:
+        if text not in special_strings(spec) and pretokens(text, special_strings(spec)) == [text] and merges.tokens(text) == [token]:
             proven.append(text)
     return proven
 
@@ -89,7 +121,9 @@ class Memo(dict):
         self.whole, self.merges = whole, merges
 
     def __missing__(self, word: str) -> int:
-        n = self[word] = len(self.merges.tokens(word))
+        n = len(self.merges.tokens(word))
+        if len(word) <= LONGEST_KEPT:
+            self[word] = n
         return n
 
     def trim(self) -> None:
@@ -106,7 +140,7 @@ class Counter:
         self.text = text
         self.specials = special_strings(spec)
         self.split = is_plain_byte_level(spec)
-        self.whole = dict.fromkeys(whole_tokens(spec) if proven is None else proven, 1) if self.split else {}
+        self.whole = dict.fromkeys([*(whole_tokens(spec) if proven is None else proven), *self.specials], 1) if self.split else {}
         self.memo = Memo(self.whole, Merges(spec)) if self.split else None
 
     @cached_property
