@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows that a Python worker turns into Python objects at a time.
-ROWS_AT_A_TIME = 512
+#: Rows, and bytes of them, that a Python worker turns into Python objects at a time; a longer row is one by itself.
+ROWS_AT_A_TIME, BYTES_AT_A_TIME = 512, 2 << 20
 
 #: Values that Python workers keep from task to task, by the key of what made them.
 WORKER: dict = {}
@@ -33,10 +33,12 @@ def documents(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset and driver and executors are one process (tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that driver and executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="tracelake-")
         atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
@@ -69,14 +71,27 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def parts(b: pa.RecordBatch, rows: int, size: int = BYTES_AT_A_TIME) -> Iterator[pa.RecordBatch]:
+    """b in pieces of at most `rows` rows and, but for single rows, `size` bytes."""
+    if b.num_rows > rows:
+        for at in range(0, b.num_rows, rows):
+            yield from parts(b.slice(at, rows), rows, size)
+    elif b.num_rows > 1 and b.nbytes > size:
+        half = b.num_rows // 2
+        yield from parts(b.slice(0, half), rows, size)
+        yield from parts(b.slice(half), rows, size)
+    elif b.num_rows:
+        yield b
+
+
 def map_arrow(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], rows: int = ROWS_AT_A_TIME) -> DataFrame:
-    """mapInArrow with batches of at most `rows` rows; make() runs once a task and gives the function for a batch."""
+    """mapInArrow with batches of at most `rows` rows and BYTES_AT_A_TIME bytes; make() runs once a task and gives the function for a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for b in batches:
-            for at in range(0, b.num_rows, rows):
-                if (out := f(b.slice(at, rows))) is not None:
+            for part in parts(b, rows):
+                if (out := f(part)) is not None:
                     yield out
 
     return df.mapInArrow(run, schema)
