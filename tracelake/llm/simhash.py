@@ -10,9 +10,10 @@
    matches, at most one a fingerprint, so a group of thousands of near copies makes no square of links.
 4. Components of those links name groups by their smallest doc_id.
 
-Defined cases: a null text is an empty one; all texts without words share fingerprint zero and are linked; repeated rows and
-rows of one doc_id are rows of their own; a row without doc_id keeps its group, which is null if no row of it has one; an empty
-table gives no rows; other columns are ignored.
+Defined cases: a null text is an empty one; all texts without words share fingerprint zero and are linked; texts are read whole,
+their shingles' bits in blocks; repeated rows and rows of one doc_id are rows of their own; a row without doc_id keeps its group,
+which is null if no row of it has one; an empty table gives no rows; other columns are ignored. A fingerprint that many rows
+share is one row wherever links are made; the last join gives it back to its rows, whose side adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -127,9 +128,11 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     here = packed.select("cell", "tile", "fps")
     steps = F.array(*[F.lit(s) for s in _steps(radius)])
     # Cells that a tile is compared with: those within the radius, of which only existing ones are kept (at most 17 ** 4 of them).
-    cells = F.broadcast(packed.select(F.col("cell").alias("to")).distinct())
+    cells = F.broadcast(packed.groupBy(F.col("cell").alias("to")).agg(F.max("tile").alias("last")))
     sent = packed.select(F.col("cell").alias("from"), F.col("tile").alias("from_tile"), F.col("fps").alias("other"), F.explode(F.transform(steps, lambda s: F.col("cell") + s)).alias("to")).join(cells, "to")
-    pairs = here.join(sent, here["cell"] == sent["to"]).where("from != cell or from_tile <= tile").select(F.col("fps").alias("a"), "other", (F.col("from").eqNullSafe(F.col("cell")) & F.col("from_tile").eqNullSafe(F.col("tile"))).alias("same"))
+    # Each of a cell's tiles is a key of its own, so the tiles of a full cell are compared in as many tasks.
+    sent = sent.withColumn("to_tile", F.explode(F.sequence(F.lit(0), "last"))).where("from != to or from_tile <= to_tile").drop("last")
+    pairs = here.join(sent, (here["cell"] == sent["to"]) & (here["tile"] == sent["to_tile"])).select(F.col("fps").alias("a"), "other", (F.col("from").eqNullSafe(F.col("cell")) & F.col("from_tile").eqNullSafe(F.col("tile"))).alias("same"))
 
     def make():
         def array(column: pa.Array, k: int) -> np.ndarray:
@@ -146,7 +149,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 
         return batch
 
-    return map_arrow(pairs, T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType())]), make)
+    return map_arrow(pairs, T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType())]), make, rows=64)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, tile: int = TILE) -> DataFrame:
