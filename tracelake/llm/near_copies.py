@@ -1,182 +1,328 @@
 """Near copies: all pairs of texts whose five-word shingles have a Jaccard similarity of LEAST or more, as groups of rows.
 
 1. Words are those of simhash ([^\\x20\\x09-\\x0D]+, A-Z lower-cased). Rows of the same words are one class, whose smallest row
-   stands for it. A text's set is that of its shingles' XXH64 hashes; a text of fewer words is one shingle, one without has none.
-2. The join is exact, by prefixes: of a set of n hashes in one total order, the first n - ceil(LEAST * n) + 1 hold at least one
-   hash of every set that is similar enough. The order is by an estimate of how many texts have the hash, rarest first, then by
-   the hash. The estimate (counts of hashes in CELLS cells) decides only how many pairs are looked at, not which links are found.
-3. Rows that share a prefix hash meet. A meeting's rows are compared with one pivot of it in each of STARS rounds, leaving out
-   rows that links already join; after those, every pair that still meets, is in different groups and was not compared is.
-   So a group of thousands of near copies makes no square of pairs, and no link between groups is missed.
-4. Groups are the components of links, named by their smallest row.
+   stands for it. A text's set is that of its shingles' 64-bit hashes; a text of fewer words is one shingle, one without has none.
+2. SimHash first: fingerprints of the sets are linked within RADIUS bits by simhash.links(), and each link is checked exactly.
+   That joins most of a large group of copies by a few links. It finds only what hardly differs, so it is not the whole job.
+3. The rest is an exact join by prefixes: of a set of n hashes in one total order, the first n - ceil(LEAST * n) + 1 hold at
+   least one hash of every set that is similar enough. The order is by hash, but hashes that stand in more than HOT prefixes are
+   put last, the most frequent MOST_HOT of them; which these are decides only how many pairs are looked at, not which links are found.
+4. Rows that share a prefix hash meet. A meeting's rows are compared with one pivot of it in each of STARS rounds, leaving out
+   rows that links already join. What still meets then is dealt to tiles of at most TILE rows, and tiles are compared in full.
+   No pair is made of rows that links join, and only pairs that pass a bound leave a tile; no link between groups is missed.
+5. The bound: sketches count a set's hashes in cells, and the smaller counts summed over cells are no less than what two sets
+   share. Sets in full are made only of the texts of pairs that the bound lets through.
+6. Groups are the components of links, named by their smallest row.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import binary, map_arrow, stored
+from tracelake.llm import simhash
+from tracelake.llm.common import binary, map_arrow, stored, worker_value
 from tracelake.llm.components import components
 
 SHINGLE = 5
+RADIUS = simhash.RADIUS
 SEED = 42
 #: LEAST as a fraction, 4 / 5.
 OVER, UNDER = 4, 5
-#: Cells of the estimate, and the blocks that they travel in.
-CELLS, BLOCK = 1 << 22, 1 << 16
+#: Prefixes that a hash stands in at most before it is put last, and how many hashes are at most (8 bytes each on the driver).
+HOT, MOST_HOT = 1, 1_000_000
 STARS = 3
-#: Rows to compare that are broadcast at most.
+#: Rows of a tile, and cells of the sketches that it carries at most.
+TILE, COARSE = 256, 128
+#: Rows to look up that are broadcast at most (8 bytes each).
 FEW = 1_000_000
+#: Words that a worker remembers.
+MEMO_ENTRIES = 200_000
+
+
+class Words(dict):
+    """Words' hashes."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) > MEMO_ENTRIES:
+            self.clear()
+        h = self[word] = xxh64_intdigest(word, SEED)
+        return h
 
 
 def cut(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def shingles(text: str) -> np.ndarray:
+def shingles(words: list[bytes], memo: Words | None = None) -> np.ndarray:
     """The distinct hashes of a text's shingles, in order."""
-    from xxhash import xxh64_intdigest
-
-    words = cut(text)
     if not words:
         return np.empty(0, dtype=np.uint64)
-    own = [b" ".join(words)] if len(words) < SHINGLE else list(map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)), strict=False)))
-    return np.unique(np.fromiter(map(xxh64_intdigest, own, repeat(SEED)), dtype=np.uint64, count=len(own)))
+    own = np.fromiter(map((Words() if memo is None else memo).__getitem__, words), dtype=np.uint64, count=len(words))
+    n = min(SHINGLE, len(words))
+    h = np.full(len(words) - n + 1, n, dtype=np.uint64)
+    for k in range(n):
+        h = (h ^ own[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return np.unique(h)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set: bits that over half its hashes have, as a signed number."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), simhash.BLOCK):
+        ones += np.unpackbits(hashes[at : at + simhash.BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def prefix_length(n: int) -> int:
     return n - -(-OVER * n // UNDER) + 1 if n else 0
 
 
-def _lists(rows: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.empty(0, dtype=np.uint64)]).view(np.int64)))
+def prefix(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The first of a set (in order) once the hot ones are put last."""
+    n = prefix_length(len(hashes))
+    if not len(hot) or not n:
+        return hashes[:n]
+    last = hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] == hashes
+    return np.concatenate([hashes[~last], hashes[last]])[:n]
 
 
-def keys(rows: DataFrame) -> DataFrame:
-    """(row, key): 16 bytes of the text's words."""
+def sketch(hashes: np.ndarray) -> bytes:
+    """Counts of a set's hashes in a power of two of cells, about two a cell; empty where a cell has too many to count."""
+    cells = 1 << max(3, int(len(hashes) // 2).bit_length())
+    counts = np.bincount((hashes & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
 
-    def make():
-        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            made = [hashlib.blake2b(b" ".join(cut(t or "")), digest_size=16).digest() for t in b.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([b.column(0), binary(made)], ["row", "key"])
 
-        return batch
+def most_shared(a: bytes, b: bytes) -> int:
+    """No less than what the sets of two sketches share."""
+    if not a or not b:
+        return 1 << 62
+    x, y = (np.frombuffer(s, dtype=np.uint8).astype(np.int64) for s in ((a, b) if len(a) <= len(b) else (b, a)))
+    return int(np.minimum(x, y.reshape(-1, len(x)).sum(axis=0)).sum())
 
-    return map_arrow(rows, "row long, key binary", make)
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.empty(0, dtype=np.uint64)]).view(np.int64)))
 
-def estimate(rows: DataFrame) -> np.ndarray:
-    """Counts of the texts' hashes in CELLS cells, each task's up to 255: CELLS small numbers on the driver, whatever the data."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, dtype=np.uint8)
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                at, n = np.unique((shingles(t or "") % CELLS).astype(np.int64), return_counts=True)
-                cells[at] = np.minimum(cells[at].astype(np.int64) + n, 255)
-        for k in range(CELLS // BLOCK):
-            part = cells[k * BLOCK : (k + 1) * BLOCK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], type=pa.int32()), binary([part.tobytes()])], ["block", "cells"])
+def _memo() -> Words:
+    return worker_value(("words",), Words)
 
-    def total(t: pa.Table) -> pa.Table:
-        out = np.zeros(BLOCK, dtype=np.int64)
-        for x in t.column("cells"):
-            out += np.frombuffer(x.as_py(), dtype=np.uint8)
-        return pa.table({"block": t.column("block").slice(0, 1), "cells": binary([np.minimum(out, 65535).astype(np.uint16).tobytes()])})
 
-    counted = rows.select("text").mapInArrow(count, "block int, cells binary")
-    found = counted.groupBy("block").applyInArrow(total, "block int, cells binary").collect()
-    out = np.zeros(CELLS, dtype=np.uint16)
-    for r in found:
-        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["cells"], dtype=np.uint16)
-    return out
+READ = "row long, key binary, n int, fp long, prefix array<long>, sketch binary"
 
 
-def prefixes(rows: DataFrame, often) -> DataFrame:
-    """(row, n, prefix): the size of a row's set and its prefix. often: the estimate, as a broadcast value."""
+def read(rows: DataFrame, hot=None) -> DataFrame:
+    """Of each text its key (16 bytes of its words), the size of its set, fingerprint, prefix and sketch. hot: hashes put last, as a broadcast value."""
 
     def make():
-        cells = often.value
+        memo = _memo()
+        last = np.empty(0, dtype=np.uint64) if hot is None else hot.value
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingles(t or "") for t in b.column(1).to_pylist()]
-            firsts = [s[np.lexsort((s, cells[(s % CELLS).astype(np.int64)]))][: prefix_length(len(s))] for s in sets]
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], type=pa.int32()), _lists(firsts)], ["row", "n", "prefix"])
+            words = [cut(t or "") for t in b.column(1).to_pylist()]
+            made = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in words]
+            sets = [shingles(w, memo) for w in words]
+            columns = [b.column(0), binary(made), pa.array([len(s) for s in sets], type=pa.int32()), pa.array([fingerprint(s) for s in sets], type=pa.int64()), _lists([prefix(s, last) for s in sets]), binary([sketch(s) for s in sets])]
+            return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in READ.split(", ")])
 
         return batch
 
-    return map_arrow(rows, "row long, n int, prefix array<long>", make)
+    return map_arrow(rows, READ, make)
 
 
 def sets(rows: DataFrame) -> DataFrame:
     """(row, hashes)."""
 
     def make():
+        memo = _memo()
+
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([b.column(0), _lists([shingles(t or "") for t in b.column(1).to_pylist()])], ["row", "hashes"])
+            return pa.RecordBatch.from_arrays([b.column(0), _lists([shingles(cut(t or ""), memo) for t in b.column(1).to_pylist()])], ["row", "hashes"])
 
         return batch
 
     return map_arrow(rows, "row long, hashes array<long>", make)
 
 
-def meetings(firsts: DataFrame) -> DataFrame:
+def few(df: DataFrame) -> DataFrame:
+    """df (one column of numbers), marked for broadcast if it is counted small."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def shared_hashes(own: DataFrame) -> DataFrame:
+    """(hash, n): hashes of two prefixes or more."""
+    return stored(own.select(F.explode("prefix").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+
+
+def ordered_prefixes(rows: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """own (row, n, prefix) with prefixes that leave out hot hashes where a text has enough others, and the hashes that are shared then."""
+    shared = shared_hashes(own)
+    often = stored(shared.where(F.col("n") > HOT).orderBy(F.desc("n"), "hash").limit(MOST_HOT).select("hash"), "hot")
+    hot = np.sort(often.toArrow().column("hash").to_numpy().view(np.uint64))
+    if not len(hot):
+        return own, shared
+    held = rows.sparkSession.sparkContext.broadcast(hot)
+    touched = few(stored(own.select("row", F.explode("prefix").alias("hash")).join(F.broadcast(often), "hash", "left_semi").select("row").distinct(), "touched"))
+    anew = read(rows.join(touched, "row", "left_semi"), held).select("row", "n", "prefix")
+    own = stored(own.join(touched, "row", "left_anti").unionByName(anew), "prefixes")
+    return own, shared_hashes(own)
+
+
+def meetings(own: DataFrame, shared: DataFrame) -> DataFrame:
     """(meeting, row, n): rows that share a prefix hash; of meetings of the same rows one stays."""
-    each = stored(firsts.select("row", "n", F.explode("prefix").alias("hash")), "prefixes")
+    each = stored(own.select("row", "n", F.explode("prefix").alias("hash")).join(few(shared.select("hash")), "hash", "left_semi"), "shared_prefixes")
     same = [F.count(F.lit(1)).alias("rows"), F.min("row").alias("least"), F.max("row").alias("most"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("sum")]
-    kinds = each.groupBy("hash").agg(*same).where("rows > 1").groupBy("rows", "least", "most", "sum").agg(F.min("hash").alias("hash")).select("hash")
-    return stored(each.join(kinds, "hash").select(F.col("hash").alias("meeting"), "row", "n"), "meetings")
+    kinds = each.groupBy("hash").agg(*same).groupBy("rows", "least", "most", "sum").agg(F.min("hash").alias("hash")).select("hash")
+    return stored(each.join(kinds, "hash", "left_semi").select(F.col("hash").alias("meeting"), "row", "n"), "meetings")
+
+
+def _similar(shared, a, b):
+    return (OVER + UNDER) * shared >= OVER * (a + b)
+
+
+def bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """pairs (a, b) that their sketches do not rule out, with the sizes of their sets."""
+
+    def make():
+        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+            na, nb = b.column(2).to_pylist(), b.column(3).to_pylist()
+            keep = [_similar(most_shared(x, y), i, j) for i, j, x, y in zip(na, nb, b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3)], ["a", "b", "na", "nb"]).filter(pa.array(keep, type=pa.bool_()))
+
+        return batch
+
+    left = sketches.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    right = sketches.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").where(UNDER * F.least("na", "nb") >= OVER * F.greatest("na", "nb"))
+    return map_arrow(both.select("a", "b", "na", "nb", "x", "y"), "a long, b long, na int, nb int", make)
+
+
+def coarse(sketch: bytes) -> bytes:
+    """A sketch of at most COARSE cells; empty where a cell has too many to count."""
+    if len(sketch) <= COARSE:
+        return sketch
+    counts = np.frombuffer(sketch, dtype=np.uint8).reshape(-1, COARSE).sum(axis=0, dtype=np.int64)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+class Tile:
+    """Rows (n, row, group, coarse sketch) in the order of their sizes, with their sketches as matrices by width."""
+
+    def __init__(self, rows: list[dict]):
+        self.n, self.row, self.group = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("n", "row", "group"))
+        self.sketches = [r["sketch"] for r in rows]
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def cells(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(counts in so many cells, whether a row has them)."""
+        if width not in self.folded:
+            fits = np.array([len(s) >= width for s in self.sketches], dtype=bool)
+            counts = np.zeros((len(fits), width), dtype=np.int32)
+            for k in np.flatnonzero(fits).tolist():
+                counts[k] = np.frombuffer(self.sketches[k], dtype=np.uint8).reshape(-1, width).sum(axis=0)
+            self.folded[width] = counts, fits
+        return self.folded[width]
+
+    def near(self, other: Tile, same: bool) -> list[tuple[int, int]]:
+        """Pairs of rows of different groups that coarse sketches do not rule out."""
+        found: list[tuple[int, int]] = []
+        low = np.searchsorted(other.n, -(-OVER * self.n // UNDER))
+        high = np.searchsorted(other.n, UNDER * self.n // OVER, side="right")
+        for k, (lo, hi) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+            at = np.arange(max(lo, k + 1) if same else lo, hi)
+            at = at[other.group[at] != self.group[k]]
+            # Sizes so near each other have sketches of the same length, or of twice or half of it.
+            width = max(8, len(self.sketches[k]) // 2)
+            if len(at) and self.sketches[k]:
+                counts, fits = other.cells(width)
+                bound = np.minimum(counts[at], self.cells(width)[0][k]).sum(axis=1)
+                at = at[~fits[at] | _similar(bound, other.n[at], self.n[k])]
+            found += [(min(self.row[k], x), max(self.row[k], x)) for x in other.row[at].tolist()]
+        return found
+
+
+def tile_pairs(here: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b): of rows that meet and are in different groups, those that coarse sketches do not rule out, by comparing tiles in full."""
+
+    def fold():
+        return lambda b: pa.RecordBatch.from_arrays([b.column(0), b.column(1), binary([coarse(x) for x in b.column(2).to_pylist()])], ["row", "n", "sketch"])
+
+    sized = here.groupBy("meeting").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    dealt = here.join(sized, "meeting").select("meeting", "tiles", F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int").alias("tile"), "row", "group")
+    wanted = sketches.join(few(here.select("row").distinct()), "row", "left_semi")
+    dealt = dealt.join(map_arrow(wanted, "row long, n int, sketch binary", fold), "row").groupBy("meeting", "tile").agg(F.first("tiles").alias("tiles"), F.array_sort(F.collect_list(F.struct("n", "row", "group", "sketch"))).alias("rows"))
+    packed = stored(dealt, "row_tiles")
+    alone = packed.where("tiles = 1").select("rows", F.lit(None).cast(packed.schema["rows"].dataType).alias("others"))
+    several = packed.where("tiles > 1")
+    sent = several.select("meeting", F.col("tile").alias("from"), F.col("rows").alias("others"), F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)).alias("tile"))
+    pairs = several.select("meeting", "tile", "rows").join(sent, ["meeting", "tile"]).select("rows", F.when(F.col("from") != F.col("tile"), F.col("others")).alias("others"))
+
+    def make():
+        def batch(b: pa.RecordBatch) -> pa.RecordBatch | None:
+            found: set[tuple[int, int]] = set()
+            for rows, others in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                tile = Tile(rows)
+                found.update(tile.near(tile if others is None else Tile(others), others is None))
+            if not found:
+                return None
+            return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+        return batch
+
+    return map_arrow(alone.unionByName(pairs), "a long, b long", make).distinct()
 
 
 def near_copies(rows: DataFrame) -> DataFrame:
     """rows (row, text), where row is unique: (row, group), the smallest row of the group."""
     rows = rows.select("row", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = stored(keys(rows), "keys")
-    classes = stored(keyed.groupBy("key").agg(F.min("row").alias("row")), "classes")
-    often = rows.sparkSession.sparkContext.broadcast(estimate(rows))
-    met = meetings(prefixes(rows, often).join(classes.select("row"), "row", "left_semi"))
-    wanted = met.select("row").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted
-    held = stored(sets(rows.join(wanted, "row", "left_semi")), "sets")
+    every = stored(read(rows), "read")
+    classes = stored(every.groupBy("key").agg(F.min("row").alias("row")), "classes")
+    copies = few(stored(every.select("row", "key").join(classes.withColumnRenamed("row", "least"), "key").where("row != least").select("row"), "copies"))
+    own = every.join(copies, "row", "left_anti")
+    sketches = own.select("row", "n", "sketch")
 
     def compared(pairs: DataFrame, tag: str) -> DataFrame:
-        """pairs (a, b, na, nb), a < b, with near: whether they are similar."""
-        shared = F.size(F.array_intersect("x", "y"))
-        both = pairs.join(held.select(F.col("row").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("row").alias("b"), F.col("hashes").alias("y")), "b")
-        return stored(both.select("a", "b", ((OVER + UNDER) * shared >= OVER * (F.col("na") + F.col("nb"))).alias("near")), tag)
+        """pairs (a, b), a < b, that the sketches do not rule out, with near: whether they are similar."""
+        left = stored(bounded(pairs, sketches), f"{tag}_bounded")
+        wanted = few(left.select(F.explode(F.array("a", "b")).alias("row")).distinct())
+        held = sets(rows.join(wanted, "row", "left_semi"))
+        both = left.join(held.select(F.col("row").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("row").alias("b"), F.col("hashes").alias("y")), "b")
+        return stored(both.select("a", "b", _similar(F.size(F.array_intersect("x", "y")), F.col("na"), F.col("nb")).alias("near")), tag)
+
+    # SimHash: each fingerprint's rows with the first of them, and those of the links.
+    prints = stored(own.where("n > 0").groupBy("fp").agg(F.min("row").alias("first")), "prints")
+    linked = simhash.links(prints.select("fp"), RADIUS)
+    of_links = linked.join(prints.select(F.col("fp").alias("x"), F.col("first").alias("p")), "x").join(prints.select(F.col("fp").alias("y"), F.col("first").alias("q")), "y").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    of_prints = own.where("n > 0").select("row", "fp").join(prints, "fp").where("row != first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    tested = compared(of_links.unionByName(of_prints), "linked")
+    met = meetings(*ordered_prefixes(rows, own.select("row", "n", "prefix")))
 
-    links = tested = None
-    grouped = met.withColumn("group", F.col("row"))
     for turn in range(STARS + 1):
+        found = stored(components(tested.where("near").select("a", "b")), "groups")
+        grouped = met.join(found.select(F.col("node").alias("row"), "component"), "row", "left").select("meeting", "row", "n", F.coalesce("component", "row").alias("group"))
         apart = grouped.groupBy("meeting").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g != h").select("meeting")
         here = stored(grouped.join(apart, "meeting", "left_semi"), "apart")
         if here.isEmpty():
             break
-        one = here.select("meeting", F.col("row").alias("p"), F.col("n").alias("pn"), F.col("group").alias("pg"))
         if turn < STARS:
-            pick = F.min(F.struct(F.xxhash64("p", F.lit(turn)).alias("k"), "p", "pn", "pg")).alias("s")
-            one = one.groupBy("meeting").agg(pick).select("meeting", "s.p", "s.pn", "s.pg")
-        pairs = here.join(one, "meeting").where((F.col("group") != F.col("pg")) & (UNDER * F.least("n", "pn") >= OVER * F.greatest("n", "pn")))
-        if turn == STARS:
-            pairs = pairs.where("row < p")
-        swap = F.col("row") < F.col("p")
-        pairs = pairs.select(F.least("row", "p").alias("a"), F.greatest("row", "p").alias("b"), F.when(swap, F.col("n")).otherwise(F.col("pn")).alias("na"), F.when(swap, F.col("pn")).otherwise(F.col("n")).alias("nb")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        now = compared(pairs, "compared")
-        tested = now if tested is None else tested.unionAll(now)
-        links = tested.where("near").select("a", "b")
-        found = stored(components(links), "groups")
-        grouped = met.join(found.select(F.col("node").alias("row"), "component"), "row", "left").select("meeting", "row", "n", F.coalesce("component", "row").alias("group"))
-    named = classes if links is None else classes.join(found.select(F.col("node").alias("row"), "component"), "row", "left")
-    named = named.select("key", (F.col("row") if links is None else F.coalesce("component", "row")).alias("group"))
-    return keyed.join(named, "key").select("row", "group")
+            pick = F.min(F.struct(F.xxhash64("row", F.lit(turn)).alias("k"), F.col("row").alias("p"), F.col("n").alias("pn"), F.col("group").alias("pg"))).alias("s")
+            one = here.groupBy("meeting").agg(pick).select("meeting", "s.p", "s.pn", "s.pg")
+            pairs = here.join(one, "meeting").where((F.col("group") != F.col("pg")) & (UNDER * F.least("n", "pn") >= OVER * F.greatest("n", "pn")))
+            pairs = pairs.select(F.least("row", "p").alias("a"), F.greatest("row", "p").alias("b")).distinct()
+        else:
+            pairs = tile_pairs(here.select("meeting", "row", "group"), sketches)
+        tested = tested.unionByName(compared(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "compared"))
+    else:
+        found = stored(components(tested.where("near").select("a", "b")), "groups")
+    named = classes.join(found.select(F.col("node").alias("row"), "component"), "row", "left").select("key", F.coalesce("component", "row").alias("group"))
+    return every.select("row", "key").join(named, "key").select("row", "group")
