@@ -10,15 +10,17 @@ Training takes a passage of at most PASSAGE words of each of at most TRAIN_DOCS
 whole table, among those that the split leaves for learning; prediction reads the text only, and whole texts. Forward-backward
 is exact: texts are cut into blocks whose transfer matrices are multiplied up, so a batch takes as many steps as its blocks.
 
-Defined cases: a text that is null or has no letter is `und` with score 0; without any learned language every text is; with one
-language it is that one's wherever there is a letter; a null doc_id counts as held out from learning; repeated rows are rows of
-their own; an empty table gives no rows; other columns are ignored.
+Defined cases: a text that is null or has no letter (category L) is `und` with score 0; without any learned language every text is;
+with one language it is that one's wherever there is a letter; of languages with equal sums the first by name is taken; long texts
+are labelled whole, in blocks; a null doc_id counts as held out from learning; repeated rows are rows of their own; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -26,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.bpe import ALL, character_class
 from tracelake.llm.common import documents, map_arrow, map_rows
 from tracelake.llm.hashing import mix, rolling
 
@@ -37,14 +40,19 @@ ROUNDS = 60
 #: Words whose transfer matrices are multiplied one after the other.
 BLOCK = 64
 #: Words that a worker remembers; beyond it starts anew.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 200_000
 HELD_OUT = 2
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
+@lru_cache
+def letter() -> re.Pattern[str]:
+    """A letter: Unicode's category L, without numerals that are letters in other respects."""
+    return re.compile(f"[{character_class('L', ALL)}]")
+
+
 def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").split()
 
@@ -135,22 +143,27 @@ def fit(passages: list[tuple[str, list[bytes]]], rounds: int = ROUNDS, seed: int
         ids += [number.setdefault(w, len(number)) for w in words]
         truth += [languages.index(lang)] * len(words)
     row = min(ROW, len(ids))
-    n = len(ids) // row
-    x, y = (np.array(v[: n * row]).reshape(n, row) for v in (ids, truth))
+    whole = len(ids) // row * row
+    # Rows of equal length, and one of what is left.
+    rows = [tuple(np.array(v[a:b]).reshape(-1, width) for v in (ids, truth)) for a, b, width in ((0, whole, row), (whole, len(ids), len(ids) - whole)) if b > a]
+    flat = np.array(ids)
     who, bucket = word_features(list(number))
     weights, transitions = np.zeros((1 << BITS, k)), np.zeros((k, k))
     target = np.zeros((len(number), k))
-    np.add.at(target, (x.ravel(), y.ravel()), 1)
+    np.add.at(target, (flat, np.array(truth)), 1)
     steps = np.zeros((k, k))
-    np.add.at(steps, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
+    for _, y in rows:
+        np.add.at(steps, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
     state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(transitions), np.zeros_like(transitions)]
     for r in range(1, rounds + 1):
         em = np.stack([np.bincount(who, weights=weights[bucket, j], minlength=len(number)) for j in range(k)], axis=1)
         em -= em.max(1, keepdims=True)
-        gamma, pairs = _row_marginals(np.exp(np.maximum(em, -30))[x], np.exp(transitions))
-        expected = np.stack([np.bincount(x.ravel(), weights=gamma[:, :, j].ravel(), minlength=len(number)) for j in range(k)], axis=1)
-        g = np.stack([np.bincount(bucket, weights=(expected - target)[who, j], minlength=1 << BITS) for j in range(k)], axis=1) / x.size + 1e-6 * weights
-        gt = (pairs - steps) / x.size + 1e-5 * transitions
+        odds = np.exp(np.maximum(em, -30))
+        got = [_row_marginals(odds[x], np.exp(transitions)) for x, _ in rows]
+        gamma = np.concatenate([g.reshape(-1, k) for g, _ in got])
+        expected = np.stack([np.bincount(flat, weights=gamma[:, j], minlength=len(number)) for j in range(k)], axis=1)
+        g = np.stack([np.bincount(bucket, weights=(expected - target)[who, j], minlength=1 << BITS) for j in range(k)], axis=1) / flat.size + 1e-6 * weights
+        gt = (sum(p for _, p in got) - steps) / flat.size + 1e-5 * transitions
         for value, grad, m, v, rate in ((weights, g, state[0], state[1], 0.05), (transitions, gt, state[2], state[3], 0.1)):
             m += 0.1 * (grad - m)
             v += 0.02 * (grad * grad - v)
@@ -185,7 +198,7 @@ class Labeller:
             if em.shape[1]:
                 em -= em.max(1, keepdims=True)
             self.e = np.concatenate([self.e, np.exp(np.maximum(em, -30))])
-            self.letter = np.concatenate([self.letter, np.array([_LETTER.search(w.decode("utf-8", "replace")) is not None for w in new], dtype=bool)])
+            self.letter = np.concatenate([self.letter, np.array([letter().search(w.decode("utf-8", "replace")) is not None for w in new], dtype=bool)])
         return found
 
     def marginals(self, found: list[np.ndarray]) -> list[np.ndarray]:
@@ -256,24 +269,37 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(True))
 
 
-def passages(docs: DataFrame, limit: int = TRAIN_DOCS) -> list[tuple[str, list[bytes]]]:
-    """(language, words) of at most `limit` documents for learning: a passage of each, at a place that a hash picks."""
+def _picked(ids: DataFrame, limit: int) -> DataFrame:
+    """(doc_id): the `limit` different ids with the smallest hashes. Hashes are cut off where enough are below, so few ids are shuffled."""
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    share = min(1.0, 8 * limit / max(1, ids.count()))
+    while True:
+        below = ids.where(order <= int(share * (1 << 32))).distinct()
+        if share >= 1 or below.limit(limit).count() == limit:
+            return below.orderBy(order, "doc_id").limit(limit)
+        share = min(1.0, 16 * share)
+
+
+def passages(docs: DataFrame, limit: int = TRAIN_DOCS, passage: int = PASSAGE) -> list[tuple[str, list[bytes]]]:
+    """(language, words) of at most `limit` rows for learning: a passage of at most `passage` words of each, at a place that a hash picks.
+
+    Different ids are picked by a hash; of their rows, copies of one passage count once, and the first by that hash are taken.
+    """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.col("lang").isNotNull() & ~held_out())
-    picked = own.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).distinct()
-    rows = own.join(F.broadcast(picked), "doc_id").select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 31)).alias("at"), "text")
+    rows = own.join(F.broadcast(_picked(own.select("doc_id"), limit)), "doc_id").select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 31)).alias("at"), "text")
 
     def make():
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
             out = []
             for at, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 w = words_of(t)
-                begin = at % max(1, len(w) - PASSAGE + 1)
-                out.append(b" ".join(w[begin : begin + PASSAGE]))
+                begin = at % max(1, len(w) - passage + 1)
+                out.append(b" ".join(w[begin : begin + passage]))
             return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, type=pa.binary())], ["doc_id", "lang", "words"])
 
         return batch
 
-    got = map_arrow(rows, "doc_id long, lang string, words binary", make).limit(2 * limit).collect()
+    got = map_arrow(rows, "doc_id long, lang string, words binary", make).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "words").limit(limit).collect()
     return [(r["lang"], bytes(r["words"]).split()) for r in sorted(got, key=lambda r: (r["doc_id"], r["lang"], bytes(r["words"])))]
 
 
@@ -293,12 +319,13 @@ def identify(docs: DataFrame, model: Crf | None = None, limit: int = TRAIN_DOCS)
     return map_arrow(documents(docs).select("doc_id", held_out().alias("held_out"), "text"), SCHEMA, make)
 
 
-def rows_in_a_language(docs: DataFrame, least: float, model: Crf | None = None, limit: int = TRAIN_DOCS) -> DataFrame:
-    """The rows of docs in which some language has at least this share of the words, with docs' own columns; none is shuffled."""
+def rows_in_a_language(docs: DataFrame, least: float, languages: list[str] | None = None, model: Crf | None = None, limit: int = TRAIN_DOCS) -> DataFrame:
+    """The rows of docs in which one of the languages (all learned ones if None) has at least this share of the words, with docs' own columns; none is shuffled."""
     held = docs.sparkSession.sparkContext.broadcast(fit(passages(docs, limit)) if model is None else model)
 
     def make():
         label = Labeller(held.value)
-        return lambda texts: [pa.array([lang != UNDETERMINED and score >= least for lang, score in label(texts)], type=pa.bool_())]
+        fits = lambda lang, score: lang != UNDETERMINED and score >= least and (languages is None or lang in languages)
+        return lambda texts: [pa.array([fits(*got) for got in label(texts)], type=pa.bool_())]
 
     return map_rows(docs, "found boolean", make).where("found").select("_row.*")
