@@ -1,7 +1,7 @@
 """Quality rules: counts of a text, then a logistic regression on hashed word and character n-grams, probability-calibrated.
 
 Words are [^\\x20\\x09-\\x0D]+. Features are the shares of hashed words, word pairs and character 3-, 4- and 5-grams of a whole
-text among those of their kind. The model is trained on labelled rows (quality 1 or 0), at most TRAIN_ROWS of them, taken by a
+text among those of their kind; characters are taken as bytes of UTF-8, so an n-gram beyond ASCII spans fewer characters. The model is trained on labelled rows (quality 1 or 0), at most TRAIN_ROWS of them, taken by a
 hash of doc_id over the whole table; one row in three is held back and calibrates the probability (Platt scaling). A document
 is kept if the base rule holds and its calibrated probability of good quality reaches KEEP_AT, a fixed threshold.
 
@@ -28,6 +28,8 @@ from tracelake.llm.hashing import mix, rolling, spans
 BITS = 17
 KINDS = 5
 TRAIN_ROWS = 1200
+#: Tasks that make the features of training rows.
+TRAIN_TASKS = 12
 KEEP_AT = 0.5
 #: Bytes whose n-grams are hashed at a time.
 BLOCK = 1 << 20
@@ -195,11 +197,14 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int) -> list:
     """(doc_id, quality, buckets, shares) of at most `limit` labelled rows, features made on the executors from whole texts.
 
-    Rows are taken by the order of a hash of doc_id; the labels taken are joined by broadcast, since the limit bounds them.
+    Different labels are taken by the order of a hash of doc_id, and joined by broadcast, since the limit bounds them. Of their
+    documents, copies count once, and the first by that hash are taken.
     """
-    wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
+    wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").distinct()
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(limit)
-    rows = documents(docs).join(F.broadcast(wanted), "doc_id").select("doc_id", "quality", "text")
+    met = documents(docs).join(F.broadcast(wanted), "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("h"), "text")
+    once = met.groupBy("doc_id", "quality", "h").agg(F.first("text").alias("text"))
+    rows = once.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "h").limit(limit).repartition(TRAIN_TASKS).select("doc_id", "quality", "text")
 
     def make():
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -220,7 +225,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int) -> list:
 
         return batch
 
-    return map_arrow(rows, "doc_id long, quality int, buckets binary, shares binary", make).limit(2 * limit).collect()
+    return map_arrow(rows, "doc_id long, quality int, buckets binary, shares binary", make).collect()
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model:
