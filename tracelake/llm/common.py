@@ -99,7 +99,7 @@ def map_arrow(df: DataFrame, schema: str | T.StructType, make: Callable[[], Call
 
 def map_rows(docs: DataFrame, schema: str, make: Callable[[], Callable[[list[str]], list[pa.Array]]]) -> DataFrame:
     """Whole rows of docs, as the struct `_row`, with columns that make()'s function gives for their texts (null: empty)."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row"))
     names = ["_row", *(x.split()[0] for x in schema.split(", "))]
 
     def batches() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
@@ -115,6 +115,11 @@ def map_rows(docs: DataFrame, schema: str, make: Callable[[], Callable[[list[str
     return map_arrow(rows, T.StructType(fields), batches)
 
 
+def quoted(name: str) -> str:
+    """A column's name as it stands, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def worker_value(key: tuple, make: Callable):
     """make()'s value, kept by this worker under the key."""
     if key not in WORKER:
