@@ -121,8 +121,10 @@ def quoted(name: str) -> str:
 
 
 def worker_value(key: tuple, make: Callable):
-    """make()'s value, kept by this worker under the key."""
+    """make()'s value, kept by this worker under the key until another operator wants one of another kind."""
     if key not in WORKER:
+        for other in [k for k in WORKER if k[0] != key[0]]:
+            del WORKER[other]
         WORKER[key] = make()
     return WORKER[key]
 
