@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -17,6 +18,9 @@ from pyspark.sql import types as T
 #: Rows, and bytes of them, that a Python worker turns into Python objects at a time; a longer row is one by itself.
 ROWS_AT_A_TIME, BYTES_AT_A_TIME = 512, 2 << 20
 
+#: Batches after which a worker gives freed memory back.
+BATCHES_TO_RELEASE = 8
+
 #: Values that Python workers keep from task to task, by the key of what made them.
 WORKER: dict = {}
 
@@ -84,15 +88,26 @@ def parts(b: pa.RecordBatch, rows: int, size: int = BYTES_AT_A_TIME) -> Iterator
         yield b
 
 
+def release() -> None:
+    """Gives memory that this worker has freed back to the machine, where its C library can; workers live on, and otherwise keep what a stage took."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], rows: int = ROWS_AT_A_TIME) -> DataFrame:
     """mapInArrow with batches of at most `rows` rows and BYTES_AT_A_TIME bytes; make() runs once a task and gives the function for a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for b in batches:
+        for k, b in enumerate(batches):
             for part in parts(b, rows):
                 if (out := f(part)) is not None:
                     yield out
+            if k % BATCHES_TO_RELEASE == 0:
+                release()
+        del f
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -34,12 +34,12 @@ SEED = 42
 #: LEAST as a fraction, 4 / 5.
 OVER, UNDER = 4, 5
 #: Prefixes that a hash stands in at most before it is put last, and how many hashes are at most (8 bytes each on the driver).
-HOT, MOST_HOT = 1, 1_000_000
-STARS = 3
+HOT, MOST_HOT = 1, 500_000
+STARS = 2
 #: Rows of a tile, and cells of the sketches that it carries at most.
 TILE, COARSE = 256, 128
 #: Rows to look up that are broadcast at most (8 bytes each).
-FEW = 1_000_000
+FEW = 300_000
 #: Words that a worker remembers.
 MEMO_ENTRIES = 200_000
 
@@ -164,6 +164,24 @@ def shared_hashes(own: DataFrame) -> DataFrame:
     return stored(own.select(F.explode("prefix").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
 
 
+def holding(own: DataFrame, hot) -> DataFrame:
+    """(row): those whose prefix has a hot hash."""
+
+    def make():
+        last = hot.value
+
+        def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+            lists = b.column(1)
+            values = lists.flatten().to_numpy().view(np.uint64)
+            found = np.concatenate([[0], np.cumsum(last[np.minimum(np.searchsorted(last, values), len(last) - 1)] == values)])
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            return pa.RecordBatch.from_arrays([b.column(0)], ["row"]).filter(pa.array(found[ends[1:]] > found[ends[:-1]]))
+
+        return batch
+
+    return map_arrow(own.select("row", "prefix"), "row long", make, rows=100_000)
+
+
 def ordered_prefixes(rows: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
     """own (row, n, prefix) with prefixes that leave out hot hashes where a text has enough others, and the hashes that are shared then."""
     shared = shared_hashes(own)
@@ -172,9 +190,10 @@ def ordered_prefixes(rows: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFr
     if not len(hot):
         return own, shared
     held = rows.sparkSession.sparkContext.broadcast(hot)
-    touched = few(stored(own.select("row", F.explode("prefix").alias("hash")).join(F.broadcast(often), "hash", "left_semi").select("row").distinct(), "touched"))
+    touched = few(stored(holding(own, held), "touched"))
     anew = read(rows.join(touched, "row", "left_semi"), held).select("row", "n", "prefix")
     own = stored(own.join(touched, "row", "left_anti").unionByName(anew), "prefixes")
+    held.unpersist()
     return own, shared_hashes(own)
 
 
