@@ -55,15 +55,17 @@ def scratch(spark: SparkSession, tag: str) -> str:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Batches of long texts to Python of at most so many rows, for what runs within; the session's own setting returns."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "4m") -> Iterator[None]:
+    """Batches to Python of at most so many rows, and no more rows once they pass `size` bytes, for what runs within; the session's own settings return."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:

@@ -320,7 +320,7 @@ def near_copies(rows: DataFrame) -> DataFrame:
 
     # SimHash: each fingerprint's rows with the first of them, and those of the links.
     prints = stored(own.where("n > 0").groupBy("fp").agg(F.min("row").alias("first")), "prints")
-    linked = simhash.links(prints.select("fp"), RADIUS)
+    linked = stored(simhash.links(prints.select("fp"), RADIUS), "linked_prints")
     of_links = linked.join(prints.select(F.col("fp").alias("x"), F.col("first").alias("p")), "x").join(prints.select(F.col("fp").alias("y"), F.col("first").alias("q")), "y").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
     of_prints = own.where("n > 0").select("row", "fp").join(prints, "fp").where("row != first").select(F.col("first").alias("a"), F.col("row").alias("b"))
     tested = compared(of_links.unionByName(of_prints), "linked")
@@ -339,7 +339,7 @@ def near_copies(rows: DataFrame) -> DataFrame:
             pairs = here.join(one, "meeting").where((F.col("group") != F.col("pg")) & (UNDER * F.least("n", "pn") >= OVER * F.greatest("n", "pn")))
             pairs = pairs.select(F.least("row", "p").alias("a"), F.greatest("row", "p").alias("b")).distinct()
         else:
-            pairs = tile_pairs(here.select("meeting", "row", "group"), sketches)
+            pairs = stored(tile_pairs(here.select("meeting", "row", "group"), sketches), "tile_pairs")
         tested = tested.unionByName(compared(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "compared"))
     else:
         found = stored(components(tested.where("near").select("a", "b")), "groups")
