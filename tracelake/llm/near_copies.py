@@ -35,6 +35,8 @@ SEED = 42
 OVER, UNDER = 4, 5
 #: Prefixes that a hash stands in at most before it is put last, and how many hashes are at most (8 bytes each on the driver).
 HOT, MOST_HOT = 1, 500_000
+#: Shared hashes that are broadcast at most (8 bytes each); a shuffle join takes more.
+MOST_SHARED = 4_000_000
 STARS = 2
 #: Rows of a tile, and cells of the sketches that it carries at most.
 TILE, COARSE = 256, 128
@@ -164,33 +166,44 @@ def shared_hashes(own: DataFrame) -> DataFrame:
     return stored(own.select(F.explode("prefix").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
 
 
-def holding(own: DataFrame, hot) -> DataFrame:
-    """(row): those whose prefix has a hot hash."""
+def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values stand in a table in order."""
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values if len(table) else np.zeros(len(values), dtype=bool)
+
+
+def holding(own: DataFrame, hashes) -> DataFrame:
+    """own (row, n, prefix) with those hashes of the prefixes that stand in a broadcast table; rows without any go."""
 
     def make():
-        last = hot.value
+        wanted = hashes.value
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            lists = b.column(1)
+            lists = b.column(2)
             values = lists.flatten().to_numpy().view(np.uint64)
-            found = np.concatenate([[0], np.cumsum(last[np.minimum(np.searchsorted(last, values), len(last) - 1)] == values)])
-            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            return pa.RecordBatch.from_arrays([b.column(0)], ["row"]).filter(pa.array(found[ends[1:]] > found[ends[:-1]]))
+            found = _among(values, wanted)
+            before = np.concatenate([[0], np.cumsum(found)]).astype(np.int32)
+            ends = before[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            kept = pa.ListArray.from_arrays(pa.array(ends), pa.array(values[found].view(np.int64)))
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), kept], ["row", "n", "prefix"]).filter(pa.array(np.diff(ends) > 0))
 
         return batch
 
-    return map_arrow(own.select("row", "prefix"), "row long", make, rows=100_000)
+    return map_arrow(own.select("row", "n", "prefix"), "row long, n int, prefix array<long>", make, rows=100_000)
+
+
+def numbers(df: DataFrame) -> np.ndarray:
+    """A column of hashes, in order, on the driver: for tables of a checked size."""
+    return np.sort(df.toArrow().column(0).to_numpy().view(np.uint64))
 
 
 def ordered_prefixes(rows: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
     """own (row, n, prefix) with prefixes that leave out hot hashes where a text has enough others, and the hashes that are shared then."""
     shared = shared_hashes(own)
-    often = stored(shared.where(F.col("n") > HOT).orderBy(F.desc("n"), "hash").limit(MOST_HOT).select("hash"), "hot")
-    hot = np.sort(often.toArrow().column("hash").to_numpy().view(np.uint64))
+    hot = numbers(shared.where(F.col("n") > HOT).orderBy(F.desc("n"), "hash").limit(MOST_HOT).select("hash"))
     if not len(hot):
         return own, shared
     held = rows.sparkSession.sparkContext.broadcast(hot)
-    touched = few(stored(holding(own, held), "touched"))
+    touched = few(stored(holding(own, held).select("row"), "touched"))
     anew = read(rows.join(touched, "row", "left_semi"), held).select("row", "n", "prefix")
     own = stored(own.join(touched, "row", "left_anti").unionByName(anew), "prefixes")
     held.unpersist()
@@ -199,7 +212,12 @@ def ordered_prefixes(rows: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFr
 
 def meetings(own: DataFrame, shared: DataFrame) -> DataFrame:
     """(meeting, row, n): rows that share a prefix hash; of meetings of the same rows one stays."""
-    each = stored(own.select("row", "n", F.explode("prefix").alias("hash")).join(few(shared.select("hash")), "hash", "left_semi"), "shared_prefixes")
+    if shared.count() <= MOST_SHARED:
+        held = own.sparkSession.sparkContext.broadcast(numbers(shared.select("hash")))
+        each = stored(holding(own, held).select("row", "n", F.explode("prefix").alias("hash")), "shared_prefixes")
+        held.unpersist()
+    else:
+        each = stored(own.select("row", "n", F.explode("prefix").alias("hash")).join(shared.select("hash"), "hash", "left_semi"), "shared_prefixes")
     same = [F.count(F.lit(1)).alias("rows"), F.min("row").alias("least"), F.max("row").alias("most"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("sum")]
     kinds = each.groupBy("hash").agg(*same).groupBy("rows", "least", "most", "sum").agg(F.min("hash").alias("hash")).select("hash")
     return stored(each.join(kinds, "hash", "left_semi").select(F.col("hash").alias("meeting"), "row", "n"), "meetings")
