@@ -23,7 +23,9 @@ BEYOND_LATIN = re.compile("[^\\x00-ɏ‐-‧‰-⁞€]")
 BEYOND_PLANE = re.compile("[\U00010000-\U0010ffff]")
 LATIN, PLANE, ALL = 0x24F, 0xFFFF, sys.maxunicode
 #: Pre-tokens that a worker remembers at most (but for those of one batch). Bounds memory only: results do not depend on it.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 150_000
+#: New pre-tokens that the library encodes in one go.
+LEARNED_TOGETHER = 4000
 
 
 def _in_class(kind: str, c: str) -> bool:
@@ -157,13 +159,15 @@ class Encoder:
         memo, words = self.memo, self.memo.new
         memo.new = []
         joined = [w for w in words if not w.isspace() and w not in self.specials]
-        ids = self._ids("\n".join(joined))
-        ends = np.append(np.flatnonzero(ids == self.newline[0]), len(ids)) * self.dtype.itemsize
-        if joined and len(ends) == len(joined):
-            raw, at, step = ids.tobytes(), 0, self.dtype.itemsize
-            for w, end in zip(joined, ends.tolist(), strict=True):
-                memo[w] = raw[at:end]
-                at = end + step
+        for at in range(0, len(joined), LEARNED_TOGETHER):
+            part = joined[at : at + LEARNED_TOGETHER]
+            ids = self._ids("\n".join(part))
+            ends = np.append(np.flatnonzero(ids == self.newline[0]), len(ids)) * self.dtype.itemsize
+            if len(ends) == len(part):
+                raw, begin, step = ids.tobytes(), 0, self.dtype.itemsize
+                for w, end in zip(part, ends.tolist(), strict=True):
+                    memo[w] = raw[begin:end]
+                    begin = end + step
         for w in words:
             if memo[w] is w:
                 memo[w] = self._ids(w).tobytes()

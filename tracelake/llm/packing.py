@@ -9,7 +9,7 @@
    gives the rank its sequence and place. No length, however common, meets in one task.
 
 Defined cases: a null text is an empty one, which is one piece that holds the end id; without an end id it has no piece.
-Repeated rows are packed each. Rows without doc_id are packed, their doc_id stays null. An empty table gives no rows. Other
+A long text is cut into pieces, all but the first full. Repeated rows are packed each. Rows without doc_id are packed, their doc_id stays null. An empty table gives no rows. Other
 columns are ignored.
 """
 
