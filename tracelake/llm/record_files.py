@@ -13,8 +13,8 @@ that hold checksums stay sound. Shards are written by Spark's own text writer an
 store that Spark reaches will do, and a lost executor's shard is written anew by its task's next attempt.
 
 Defined cases: a null text is an empty one, whose record holds the end id only; rows without doc_id come first; rows of one
-doc_id stand in the order of their texts; repeated rows are kept; an empty table gives an index without rows; other
-columns are ignored.
+doc_id stand in the order of a hash of their texts, equal ones as they were read; repeated rows are kept; a long text is one record
+whole, and shards are cut by bytes as well as by rows; an empty table gives an index without rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +35,10 @@ from tracelake.llm.common import binary, documents, map_arrow, scratch, small_ba
 
 #: Fixed value: what is added to a rotated checksum.
 MASK_DELTA = 0xA282EAD8
-#: Documents in a shard: a reader holds one shard in memory.
-ROWS_PER_SHARD = 8192
+#: Documents, and bytes of their texts, in a shard on average: a reader holds one shard in memory.
+ROWS_PER_SHARD, BYTES_PER_SHARD = 8192, 16 << 20
+#: Shards whose sums are added up in one task.
+SHARDS_TOGETHER = 4096
 
 HEAD, NAME = struct.Struct("<QI"), struct.Struct("<qB")
 INDEX_SCHEMA = "shard int, record long, doc_id long, offset long, size long, local_start long, n_tokens long, ids_crc32 long"
@@ -71,10 +73,11 @@ def read_frame(data: bytes, at: int) -> tuple[int, int | None, bytes]:
     return end + 5, None if flags & 1 else doc_id, np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes() if flags & 2 else ids
 
 
-def write_records(docs: DataFrame, vocabulary: str, path: str, end_id: int | None = 2, rows_per_shard: int = ROWS_PER_SHARD) -> None:
+def write_records(docs: DataFrame, vocabulary: str, path: str, end_id: int | None = 2, rows_per_shard: int = ROWS_PER_SHARD, bytes_per_shard: int = BYTES_PER_SHARD) -> None:
     """Encodes documents with the tokenizers library and writes the shards.
 
-    One shuffle, of texts by ranges of doc_id; encoding then runs in the writing tasks, so ids are made once.
+    One shuffle, of texts by ranges of doc_id, a hash of the text and the row's place in the input, so rows of one doc_id are cut
+    into shards like any others; encoding then runs in the writing tasks, so ids are made once.
     """
     spark, voc = docs.sparkSession, Vocabulary(vocabulary)
     text, key = voc.broadcast(spark), voc.key
@@ -91,10 +94,12 @@ def write_records(docs: DataFrame, vocabulary: str, path: str, end_id: int | Non
         return batch
 
     rows = documents(docs)
-    shards = max(1, -(-rows.count() // rows_per_shard))
-    in_order = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).first()
+    shards = max(1, -(-total["n"] // rows_per_shard), -(-(total["size"] or 0) // bytes_per_shard))
+    order = ["doc_id", "_hash", "_place"]
+    in_order = rows.select("doc_id", "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_place")).repartitionByRange(shards, *order).sortWithinPartitions(*order)
     with small_batches(spark):
-        map_arrow(in_order, "value binary", make).select(F.col("value").cast("string")).write.option("compression", "none").text(path)
+        map_arrow(in_order.select("doc_id", "text"), "value binary", make).select(F.col("value").cast("string")).write.option("compression", "none").text(path)
 
 
 def shard_files(spark: SparkSession, path: str) -> DataFrame:
@@ -134,9 +139,13 @@ def build_index(spark: SparkSession, path: str, index_path: str) -> DataFrame:
 
 
 def with_starts(index: DataFrame) -> DataFrame:
-    """The index with `start`, the ids of all records before: sums by shard are one row a shard."""
-    sums = index.groupBy("shard").agg(F.sum("n_tokens").alias("_n"))
-    before = sums.select(F.col("shard"), (F.sum("_n").over(Window.orderBy("shard")) - F.col("_n")).alias("_before"))
+    """The index with `start`, the ids of all records before: sums of shards, one row each, are added up by blocks of shards, then blocks."""
+    sums = index.groupBy("shard").agg(F.sum("n_tokens").alias("_n")).withColumn("_block", F.floor(F.col("shard") / SHARDS_TOGETHER))
+    blocks = sums.groupBy("_block").agg(F.sum("_n").alias("_m"))
+    # One row for SHARDS_TOGETHER shards.
+    blocks = blocks.select("_block", (F.sum("_m").over(Window.orderBy("_block")) - F.col("_m")).alias("_first"))
+    within = F.sum("_n").over(Window.partitionBy("_block").orderBy("shard")) - F.col("_n")
+    before = sums.select("shard", "_block", within.alias("_within")).join(blocks, "_block").select("shard", (F.col("_first") + F.col("_within")).alias("_before"))
     return index.join(before, "shard").select(*index.columns, (F.col("_before") + F.col("local_start")).alias("start"))
 
 
