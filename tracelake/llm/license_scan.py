@@ -1,16 +1,19 @@
 """License scans: phrases, and text blocks that hold license templates, by an exact set-similarity join. DataFrame functions only.
 
 Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z lower-cased. Base labels come from phrases whose words stand
-one behind the other. The method adds labels of templates: a block (a line) has a template's label if it holds at least the
-share THRESHOLD of the template's distinct words.
-
-The join is exact and never compares all blocks with all templates. Template words are ordered by how often they stand in all
-documents, rarest first. A block that holds c of a template's m words holds one of its m - c + 1 rarest (its prefix), and has c
-template words at least (length filter); where the first shared word stands at place i of the template and j of the block's own
-words in that order, 1 + min(m - i - 1, n - j - 1) must reach c (positional filter). Pairs that pass are counted in full.
+one behind the other. The method adds labels of templates. A block has a template's label if it holds at least the share
+THRESHOLD of the template's tokens. Blocks are of two kinds: a line, whose tokens are its words; and a paragraph (what stands
+between blank lines), whose tokens are pairs of words that stand side by side, over the ends of lines too, so that a notice
+wrapped over lines is found wherever it is broken, and words that only happen to stand in neighbouring lines are none.
+
+The join is exact and never compares all blocks with all templates. Template tokens are ordered by how often they stand in all
+documents, rarest first. A block that holds c of a template's m tokens holds one of its m - c + 1 rarest (its prefix), and has c
+template tokens at least (length filter); where the first shared one stands at place i of the template and j of the block's own
+in that order, 1 + min(m - i - 1, n - j - 1) must reach c (positional filter). Pairs that pass are counted in full.
 Templates are a parameter of fixed size: their words and prefixes go with the plan. No block is dropped for its frequency.
 
-Defined cases: a null text is an empty one: no words, no places, no labels, score 0; phrases overlap freely; each row gives a
+Defined cases: a null text is an empty one: no words, no places, no labels, score 0; phrases overlap freely; texts are scanned
+whole, however long; equally frequent tokens are ordered by name; each row gives a
 row, repeated or without doc_id or not; an empty table gives no rows; other columns are ignored.
 """
 
@@ -41,12 +44,14 @@ THRESHOLD = 0.8
 
 #: What stands between words, once A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between paragraphs: a blank line.
+PARAGRAPHS = r"\n[ \t\x0B\f\r]*\n"
 #: The one character beyond ASCII that lower() would turn into an ASCII letter; any other that is none keeps words the same.
 KELVIN = "K"
 
 
-def template_words(text: str) -> list[str]:
-    """A template's distinct words, in order."""
+def _words(text: str) -> list[str]:
+    """A template's words, in order."""
     out, word = [], ""
     for c in text + " ":
         c = c.lower() if "A" <= c <= "Z" else c
@@ -55,7 +60,23 @@ def template_words(text: str) -> list[str]:
         elif word:
             out.append(word)
             word = ""
-    return list(dict.fromkeys(out))
+    return out
+
+
+def template_words(text: str) -> list[str]:
+    """A template's distinct words, in order."""
+    return list(dict.fromkeys(_words(text)))
+
+
+def template_pairs(text: str) -> list[str]:
+    """A template's distinct pairs of words side by side, in order."""
+    own = _words(text)
+    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(own, own[1:], strict=False)))
+
+
+def token_sets(templates: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
+    """(label, tokens): the words of each template, and its pairs."""
+    return [(label, own) for make in (template_words, template_pairs) for label, t in templates if (own := make(t))]
 
 
 def words(text: F.Column) -> F.Column:
@@ -63,6 +84,11 @@ def words(text: F.Column) -> F.Column:
     return F.split(F.lower(F.replace(text, F.lit(KELVIN), F.lit("�"))), SEPARATORS, -1)
 
 
+def pairs(w: F.Column) -> F.Column:
+    """Words side by side; a pair with an empty word at either end of the array is no template's."""
+    return F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
 def _literal(values: list[str]) -> F.Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
@@ -73,10 +99,13 @@ def _rows(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame
     return spark.range(1).select(F.inline(F.array(*[F.struct(*[cell(x).alias(n) for n, x in zip(names, r, strict=True)]) for r in rows])))
 
 
-def word_frequencies(rows: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """How often each word of the vocabulary stands in all texts; one row a word goes to the driver."""
-    found = rows.select(F.explode(words(F.col("text"))).alias("w")).where(F.col("w").isin(vocabulary)).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()
-    return dict.fromkeys(vocabulary, 0) | {r["w"]: r["n"] for r in found}
+def token_frequencies(rows: DataFrame, tokens: list[str]) -> dict[str, int]:
+    """How often each token stands in all texts; one row a token goes to the driver."""
+    single, double = [t for t in tokens if " " not in t], [t for t in tokens if " " in t]
+    w = words(F.col("text"))
+    held = rows.select(F.filter(w, lambda x: x.isin(single)).alias("one"), F.when(F.arrays_overlap(w, _literal(single)), F.filter(pairs(w), lambda x: x.isin(double))).alias("two"))
+    found = held.select(F.explode(F.concat("one", F.coalesce("two", F.array().cast("array<string>")))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()
+    return dict.fromkeys(tokens, 0) | {r["w"]: r["n"] for r in found}
 
 
 def needed(m: int, threshold: float = THRESHOLD) -> int:
@@ -86,35 +115,42 @@ def needed(m: int, threshold: float = THRESHOLD) -> int:
 
 def similar_blocks(blocks: DataFrame, templates: list[tuple[str, str]], order: list[str], threshold: float = THRESHOLD) -> DataFrame:
     """blocks (row, block, tokens: the block's distinct template words) joined with templates: row, block, label, containment; a pair may stand more than once."""
+    return similar_sets(blocks, [(label, template_words(t)) for label, t in templates], order, threshold)
+
+
+def similar_sets(blocks: DataFrame, sets: list[tuple[str, list[str]]], order: list[str], threshold: float = THRESHOLD) -> DataFrame:
+    """The same for (label, tokens)."""
     spark = blocks.sparkSession
     rank = {w: k for k, w in enumerate(order)}
     prefixes, whole = [], []
-    for k, (label, text) in enumerate(templates):
-        own = sorted(template_words(text), key=rank.__getitem__)
+    for k, (label, tokens) in enumerate(sets):
+        own = sorted(tokens, key=rank.__getitem__)
         c = needed(len(own), threshold)
         prefixes += [(w, k, i, len(own), c) for i, w in enumerate(own[: len(own) - c + 1])]
         whole.append((k, label, own, c))
     index = F.broadcast(_rows(spark, ["w", "k", "i", "m", "c"], prefixes))
-    sets = F.broadcast(_rows(spark, ["k", "label", "own", "c"], whole))
+    table = F.broadcast(_rows(spark, ["k", "label", "own", "c"], whole))
     position = F.create_map(*[x for w, k in rank.items() for x in (F.lit(w), F.lit(k))])
     ranked = blocks.withColumn("sorted", F.array_sort(F.transform("tokens", lambda w: F.struct(position[w].alias("r"), w.alias("w")))))
     probes = ranked.select("row", "block", "sorted", F.size("sorted").alias("n"), F.posexplode("sorted").alias("j", "s")).withColumn("w", F.col("s.w"))
     met = probes.join(index, "w").where((F.col("n") >= F.col("c")) & (1 + F.least(F.col("m") - F.col("i") - 1, F.col("n") - F.col("j") - 1) >= F.col("c")))
     # A block may meet a template at several of its prefix words; it is then counted as often, and stands as often in the result.
-    pairs = met.select("row", "block", "k", F.transform("sorted", lambda s: s["w"]).alias("tokens"))
+    met_pairs = met.select("row", "block", "k", F.transform("sorted", lambda s: s["w"]).alias("tokens"))
     shared = F.size(F.array_intersect("tokens", "own"))
-    return pairs.join(sets, "k").where(shared >= F.col("c")).select("row", "block", "label", (shared / F.size("own")).alias("containment"))
+    return met_pairs.join(table, "k").where(shared >= F.col("c")).select("row", "block", "label", (shared / F.size("own")).alias("containment"))
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score for every document."""
     templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
     rows = documents(docs)
-    vocabulary = sorted({w for _, t in templates for w in template_words(t)})
-    often = word_frequencies(rows, vocabulary)
-    order = sorted(vocabulary, key=lambda w: (often[w], w))
+    sets = token_sets(templates)
+    tokens = sorted({w for _, own in sets for w in own})
+    often = token_frequencies(rows, tokens)
+    order = sorted(tokens, key=lambda w: (often[w], w))
     rank = {w: k for k, w in enumerate(order)}
-    prefix = sorted({w for _, t in templates for own in [sorted(template_words(t), key=rank.__getitem__)] for w in own[: len(own) - needed(len(own), threshold) + 1]})
+    prefix = sorted({w for _, unordered in sets for own in [sorted(unordered, key=rank.__getitem__)] for w in own[: len(own) - needed(len(own), threshold) + 1]})
+    single, double = ([t for t in tokens if (" " in t) == two] for two in (False, True))
 
     split = rows.withColumn("w", words(F.col("text")))
     size = F.size("w") - (F.element_at("w", 1) == "").cast("int") - ((F.size("w") > 1) & (F.element_at("w", -1) == "")).cast("int")
@@ -134,16 +170,19 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrase
 
         return F.when(F.array_contains("w", own[-1]) & F.array_contains("w", own[0]), F.transform(F.filter(every, starts), lambda i: i - shift)).otherwise(F.array().cast("array<int>"))
 
-    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.array_intersect(words(x), _literal(vocabulary))), lambda t: F.arrays_overlap(t, _literal(prefix)))
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.array_intersect(words(x), _literal(single)))
+    paragraphs = F.transform(F.split("text", PARAGRAPHS, -1), lambda x: F.array_intersect(pairs(words(x)), _literal(double)))
+    blocks = F.filter(F.concat(lines, paragraphs), lambda t: F.arrays_overlap(t, _literal(prefix)))
     kept = split.select(
         "doc_id",
         size.cast("long").alias("n_words"),
         F.array(*[places(p) for p in phrases]).alias("places"),
-        F.when(F.arrays_overlap("w", _literal(prefix)), lines).alias("blocks"),
+        # A pair of a template is there only where its first word is.
+        F.when(F.arrays_overlap("w", _literal(sorted({t.split()[0] for t in prefix}))), blocks).alias("blocks"),
     )
     table = stored(kept.withColumn("row", F.monotonically_increasing_id()), "scanned")
     blocks = table.where("blocks is not null").select("row", F.posexplode("blocks").alias("block", "tokens"))
-    found = similar_blocks(blocks, templates, order, threshold).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
+    found = similar_sets(blocks, sets, order, threshold).groupBy("row").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
     base = F.filter(F.array(*[F.when(F.size(F.col("places")[k]) > 0, label) for k, label in enumerate(phrases.values())]), lambda x: x.isNotNull())
     every = F.flatten("places")
     return (
@@ -154,7 +193,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrase
 
 
 def sql() -> str:
-    """The same over the table documents in ANSI SQL, comparing every line with every template."""
+    """The same over the table documents in ANSI SQL, comparing every line and paragraph with every template."""
     sep = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     cut = lambda x: f"list_filter(string_split_regex({x}, '{sep}'), lambda s: s <> '')"
@@ -163,7 +202,7 @@ def sql() -> str:
         own = p.split()
         fits = " and ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(own))
         place.append(f"list_filter(range(1, len(w) + 1), lambda i: coalesce({fits}, false))")
-    values = ", ".join(f"('{label}', {own!r}, {needed(len(own))})" for label, t in TEMPLATES for own in [template_words(t)])
+    values = ", ".join(f"('{label}', {own!r}, {needed(len(own))})" for label, own in token_sets(TEMPLATES))
     base = "list_filter([" + ", ".join(f"case when len(p{k}) > 0 then '{label}' end" for k, label in enumerate(PHRASES.values())) + "], lambda x: x is not null)"
     every = "list_concat(" + ", ".join(f"p{k}" for k in range(len(PHRASES))) + ")"
     return f"""with texts as (select row_number() over () as r, doc_id, {lower("coalesce(text, '')")} as t from documents),
@@ -172,7 +211,9 @@ placed as (select r, doc_id, len(w) as n_words, {", ".join(f"{x} as p{k}" for k,
 based as (select r, doc_id, n_words, {every} as every, list_sort(list_distinct({base})) as b from placed),
 templates(label, own, c) as (values {values}),
 lines as (select r, {cut("line")} as w from (select r, unnest(string_split(t, chr(10))) as line from texts) where line <> ''),
-held as (select r, label, len(list_intersect(list_distinct(w), own)) as shared, len(own) as m, c from lines, templates where list_has_any(w, own)),
+paragraphs as (select r, {cut("paragraph")} as p from (select r, unnest(string_split_regex(t, '{PARAGRAPHS}')) as paragraph from texts) where paragraph <> ''),
+blocks as (select r, w from lines union all select r, list_transform(range(1, len(p)), lambda i: concat(p[i], ' ', p[i + 1])) from paragraphs),
+held as (select r, label, len(list_intersect(list_distinct(w), own)) as shared, len(own) as m, c from blocks, templates where list_has_any(w, own)),
 found as (select r, list(distinct label) as more, max(shared / m) as containment from held where shared >= c group by r)
 select doc_id, n_words, len(every) as n_base, list_min(every) - 1 as first_word, list_max(every) - 1 as last_word, array_to_string(b, ',') as base_labels,
 array_to_string(list_sort(list_distinct(list_concat(b, coalesce(more, [])))), ',') as labels, cast(coalesce(containment, 0.0) as double) as score
