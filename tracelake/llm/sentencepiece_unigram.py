@@ -12,8 +12,9 @@ is that of its marked words in a row, so each distinct word is segmented once an
 Decoding puts pieces together, byte pieces as UTF-8 (bytes that are none become U+FFFD), markers as spaces, and drops the one
 that encoding put in front.
 
-Defined cases: a null text is an empty one, which has no pieces; each row gives a row, repeated or without doc_id or not; an
-empty table gives no rows; other columns are ignored.
+Defined cases: a null text is an empty one, which has no pieces; texts and words of any length are segmented whole, in linear steps; of
+segmentations of equal score the first found is taken; each row gives a row, repeated or without doc_id or not; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations

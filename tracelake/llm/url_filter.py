@@ -20,7 +20,7 @@ overall share. A level works on the templates that reach it only, and its result
 sql() is the same for paths of up to DEPTH segments; deeper ones it cuts at DEPTH, which judge() does not.
 
 Defined cases: a null url, or one without ://, has empty host and path, no rule and verdict allow; null labels are no labels;
-repeated pages are counted and judged each; a null page_id stays null; empty tables give no rows or no rejections; other
+pages are counted and judged each, urls of any length whole; of equally long rules the one with the longer host wins; a null page_id stays null; empty tables give no rows or no rejections; other
 columns are ignored.
 """
 
@@ -34,7 +34,7 @@ from tracelake.llm.common import stored
 #: (host, path prefix, verdict)
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 #: Segments that sql() tells apart.
-DEPTH = 3
+DEPTH = 6
 #: Levels after which lineage is cut.
 LEVELS = 3
 LONG = 24
