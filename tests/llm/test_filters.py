@@ -152,6 +152,12 @@ def test_code_switching():
     assert named == ["de"] * 15 + ["fr"] * 15
 
 
+def test_numerals_are_no_letters(docs):
+    model = language_crf.fit([("de", [b"der", b"und"]), ("en", [b"the", b"and"])])
+    got = {r["doc_id"]: r["lang_pred"] for r in language_crf.identify(docs([(1, "½ ²"), (2, "Ⅷ ①"), (3, "12"), (4, "漢")]), model).collect()}
+    assert [got[k] for k in (1, 2, 3)] == ["und"] * 3 and got[4] != "und"
+
+
 def test_language_of_messy_tables(messy, none, docs):
     rows = language_crf.identify(messy).collect()
     by = Counter(r["lang_pred"] for r in rows if r["doc_id"] in (1, 2, 3))
@@ -232,6 +238,16 @@ def plain_license(text):
             if shared >= license_scan.needed(len(want)):
                 more.add(label)
                 score = max(score, shared / len(want))
+    for paragraph in re.split(r"\n[ \t\x0b\x0c\r]*\n", low):
+        own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", paragraph)
+        own = set(zip(own, own[1:]))
+        for label, t in license_scan.TEMPLATES:
+            w = re.findall(r"[a-z0-9]+", t.lower())
+            want = set(zip(w, w[1:]))
+            shared = len(own & want)
+            if shared >= license_scan.needed(len(want)):
+                more.add(label)
+                score = max(score, shared / len(want))
     first = (min(places), max(places)) if places else (None, None)
     return len(words), len(places), *first, ",".join(sorted(labels)), ",".join(sorted(labels | more)), round(score, 9)
 
@@ -243,6 +259,19 @@ NOTICES = [
 ]
 
 
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
+WRAPPED = [
+    (40, f"Copyright (c) 2001 A. Person\n\n{MIT}\n"), (41, "/*\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:\n */"),
+    (42, "# Licensed under the Apache\n# License, Version\n# 2.0"), (43, "Permission is hereby granted, free of charge, to any\n\nperson obtaining a copy of this software and associated documentation files"),
+]
+
+
+def test_notices_wrapped_over_lines(docs):
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in license_scan.scan(docs(WRAPPED)).collect()}
+    assert [got[k][0] for k in (40, 41, 42)] == ["mit-grant", "bsd", "apache-2.0"]
+    assert got == {i: plain_license(t)[-2:] for i, t in WRAPPED}
+
+
 def test_licenses(docs, none):
     rows = MESSY + NOTICES
     got = license_scan.scan(docs(rows)).collect()

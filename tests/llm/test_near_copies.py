@@ -67,3 +67,22 @@ def test_the_stage_finds_copies_beyond_the_radius_of_simhash(spark, docs):
     one, two = " ".join(words), " ".join(far)
     assert (simhash.fingerprint(one) ^ simhash.fingerprint(two)).bit_count() > simhash.RADIUS
     assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs([(1, one), (2, two)]), "").collect()] == [1]
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    rows = [(k, sentence(k) if k else sentence(1), 1, f"x{k}", k) for k in range(3)]
+    named = spark.createDataFrame(rows, "doc_id long, text string, _first int, `a.b` string, row long")
+    got = corpus_pipeline.near_duplicates(spark, named, "")
+    assert got.columns == named.columns
+    assert sorted(tuple(r) for r in got.collect()) == [rows[0], rows[2]]
+    assert corpus_pipeline.quality(spark, named, "/root/testdata/sf0.001").columns == named.columns
+
+
+def test_records_of_one_id_are_cut_into_shards(spark, docs, vocab):
+    from tracelake.llm import record_files
+    from tracelake.llm.common import scratch
+
+    path = scratch(spark, "records")
+    record_files.write_records(docs([(7, "the same text")] * 600), vocab, path, rows_per_shard=100)
+    sizes = [r["n"] for r in record_files.build_index(spark, path, f"{path}-index").groupBy("shard").count().withColumnRenamed("count", "n").collect()]
+    assert sum(sizes) == 600 and max(sizes) < 300

@@ -44,6 +44,36 @@ def test_encoder_and_counter_equal_the_library(library, encoder, counter, text):
     assert counter(text) == len(want)
 
 
+SCRIPTS = st.lists(st.sampled_from(["Привет", "мир", "漢字", "かな", "\U0001f600", "\U0001f44d\U0001f3fd", "العربية", "हिन्दी", "한국어", "<|endoftext|>", "١٢", "½²", "Ⅷ", "\u3000", "\u2003", "\U00010400", "'ll", "a", " ", "\n", "_", "\u0378"]), max_size=20)
+
+
+@settings(max_examples=300, deadline=None)
+@given(SCRIPTS)
+def test_texts_of_any_script_equal_the_library(library, encoder, counter, parts):
+    text = "".join(parts)
+    want = library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.many([text])[0], encoder.dtype).tolist() == want
+    assert counter(text) == len(want)
+
+
+def test_texts_of_any_script_are_counted_by_the_method(counter):
+    from tracelake.llm.bpe import pretokens
+
+    assert pretokens("Привет, 漢字 \U0001f600<|endoftext|>", counter.specials) == ["Привет", ",", " 漢字", " \U0001f600", "<|endoftext|>"]
+    assert pretokens("a\u0378", counter.specials) is None
+
+
+def test_long_pretokens_take_little_time(library, counter):
+    import random
+    import time
+
+    word = "".join(random.Random(5).choices("acgtACGT", k=32_000))
+    began = time.perf_counter()
+    n = counter(word)
+    assert time.perf_counter() - began < 2
+    assert n == len(library.encode(word, add_special_tokens=False).ids)
+
+
 def test_memo_forgets_without_changing_results(library, encoder, monkeypatch):
     monkeypatch.setattr("tracelake.llm.bpe.MEMO_ENTRIES", 4)
     texts = [f"word{k} and again word{k % 3}" for k in range(50)]
