@@ -13,12 +13,15 @@ VERSION = r"(?i)^v\d+$"
 
 
 def normalize_path(path: Column) -> Column:
-    """One form for a route template: leading slash, parameters as {}, no doubled or trailing slashes; '' for none."""
-    p = F.regexp_replace(path, r"^\s+|\s+$", "")
-    p = F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))
-    p = F.regexp_replace(F.regexp_replace(p, r"\{[^}]+\}", "{}"), r":([A-Za-z_][A-Za-z0-9_]*)", "{}")
-    p = F.regexp_replace(F.regexp_replace(p, "/+", "/"), "/+$", "")
-    return F.when(path.isNull() | path.isin("", "?"), "").otherwise(F.when(p == "", "/").otherwise(p))
+    """One form for a route template: leading slash, parameters as {}, no doubled or trailing slashes; '' for none.
+
+    Written without branches, so that it names its argument once where it is the work of an expression: the optimiser may put
+    it into filters and keys as often as it likes.
+    """
+    p = F.concat(F.lit("/"), F.regexp_replace(path, r"^\s+|\s+$", ""))
+    p = F.regexp_replace(p, r"\{[^}]+\}|:[A-Za-z_][A-Za-z0-9_]*", "{}")
+    p = F.regexp_replace(F.regexp_replace(p, "/+", "/"), "(?<=.)/$", "")
+    return F.when(path.isin("", "?"), "").otherwise(F.coalesce(p, F.lit("")))
 
 
 def significant_segments(norm: Column) -> Column:

@@ -11,6 +11,8 @@ from tracelake.functions.paths import normalize_path, significant_segments
 from tracelake.functions.vocabulary import CLIENT_SUFFIXES, MAX_PATTERN_REPOS
 from tracelake.operators.inventory import joined_set
 from tracelake.operators.routes import contained, match_routes, route_index
+from tracelake.storage import stored
+
 
 def strongest(hits: DataFrame, *keys: str) -> DataFrame:
     """Of each key's hits the strongest, the first on a tie."""
@@ -127,10 +129,20 @@ def demand(nodes: DataFrame) -> DataFrame:
     calls = nodes.where("family = 'http-out' and path is not null and path != ''").withColumn("norm", normalize_path(F.col("path")))
     if "target_repo_evidence" in nodes.columns:
         calls = calls.where(~F.coalesce(F.col("target_repo_evidence").startswith("api-client class"), F.lit(False)))
-    calls = calls.where(F.size(significant_segments(F.col("norm"))) > 0)
-    routes = route_index(nodes).select("norm", F.col("repo").alias("target_repo"), F.col("path").alias("target_path")).distinct()
-    met = calls.select("norm", "repo", F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1).alias("cls")).distinct().join(match_routes(calls.select("norm"), routes.select("norm")), "norm").join(routes.withColumnRenamed("norm", "route_norm"), "route_norm").where("repo != target_repo")
-    return met.groupBy("target_repo").agg(F.count_distinct("repo").alias("n_callers"), F.count_distinct("cls").alias("n_classes"), joined_set(F.col("target_path")).alias("paths"))
+    calls = calls.select("norm", "repo", F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1).alias("cls")).distinct()
+    calls = stored(calls.where(F.size(significant_segments(F.col("norm"))) > 0), "demand_calls")
+    routes = stored(route_index(nodes).select(F.col("norm").alias("route_norm"), F.col("repo").alias("target_repo"), F.col("path").alias("target_path")).distinct(), "demand_routes")
+    matched = stored(match_routes(calls, routes.select(F.col("route_norm").alias("norm"))).select("norm", "route_norm"), "demand_matches")
+    serves = matched.join(routes.select("route_norm", "target_repo").distinct(), "route_norm").select("norm", "target_repo").distinct()
+    # Callers and classes are paired with services apart, each different one of a path once.
+    callers = calls.select("norm", "repo").distinct().join(serves, "norm").where("repo != target_repo").select("target_repo", "repo").distinct().groupBy("target_repo").agg(F.count(F.lit(1)).alias("n_callers"))
+    # A class counts for a service where a repository other than it holds the call: one that several repositories hold, or one other than the service.
+    held = calls.groupBy("norm", "cls").agg(F.min("repo").alias("low"), F.max("repo").alias("high"))
+    classes = held.join(serves, "norm").where("low != high or low != target_repo").select("target_repo", "cls").distinct().groupBy("target_repo").agg(F.count(F.lit(1)).alias("n_classes"))
+    # A route's path is called by another repository likewise.
+    called = calls.groupBy("norm").agg(F.min("repo").alias("low"), F.max("repo").alias("high")).join(matched, "norm").groupBy("route_norm").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    landed = called.join(routes, "route_norm").where("low != high or low != target_repo").groupBy("target_repo").agg(joined_set(F.col("target_path")).alias("paths"))
+    return callers.join(classes, "target_repo").join(landed, "target_repo")
 
 
 def generic_classes(nodes: DataFrame, most: int = MAX_PATTERN_REPOS) -> DataFrame:

@@ -213,13 +213,16 @@ def _(node, repo, binding):
 
 @query(
     "service_call_unmatched",
-    f"""+{S_EDGES}, caught as (select ord from hits where k = 0 union select ord from outs where target_repo is not null)
-    select c.repo as source_repo, call_host as host, {_REF} as ref, 'host did not resolve to a known repo' as reason from call_hosts c where k = 0 and call_host not in (select host from hosted) and ord not in (select ord from caught)
-    union all select repo, '', {_REF}, 'no host, path, or declared target resolved' from outs where ord not in (select ord from caught) and ord not in (select ord from call_hosts where k = 0)""",
+    f"""+{S_EDGES}, known as materialized (select distinct norm from ranked where rk = 1),
+    own_hosts as materialized (select * from call_hosts where k = 0), own_paths as materialized (select ord, norm from call_paths where k = 0),
+    caught as materialized (select p.ord from own_paths p join known using (norm) union select ord from outs where target_repo is not null),
+    named as materialized (select distinct host from hosted)
+    select c.repo as source_repo, call_host as host, {_REF} as ref, 'host did not resolve to a known repo' as reason from own_hosts c anti join named h on c.call_host = h.host anti join caught k on c.ord = k.ord
+    union all select repo, '', {_REF}, 'no host, path, or declared target resolved' from outs o anti join caught k on o.ord = k.ord anti join own_hosts c on o.ord = c.ord""",
     _ALL,
 )
 def _(node, repo, binding):
-    return calls.http_out_edges(node, repo, binding)[1]
+    return calls.unmatched(node, repo, binding)
 
 
 @query("call_edges_by_confidence", f"+{S_EDGES} select confidence, count(*) as n_edges from edges group by confidence", _ALL)
