@@ -1,4 +1,4 @@
-"""The queries over whole tables, beside the narrow ones that their SQL fixes."""
+"""Queries over whole tables, against plain searches of the same rows."""
 
 import os
 import re
@@ -16,7 +16,7 @@ NAMES = re.compile("[A-Za-z_][A-Za-z0-9_]*")
 
 def plain_paths(spark, node):
     """By depth-first search: (entry, sink, hops, path)."""
-    decl, hops, sinks, entries = (spark.sql(x, node=node).collect() for x in Q._TAINT_ALL)
+    decl, hops, sinks, entries = (spark.sql(x, node=node).collect() for x in (Q._DECL, Q._HOPS, Q._SINKS, Q._ENTRIES))
     params = {(r["repo"], r["scope"]): r["params"].split(",") for r in decl}
     out, at = defaultdict(list), defaultdict(list)
     for r in hops:
@@ -42,7 +42,7 @@ def plain_paths(spark, node):
 
 
 def test_tainted_paths_of_all_repositories_to_any_depth(spark):
-    got = registry.queries()["tainted_paths_recursive_all"](spark, SF).collect()
+    got = registry.queries()["tainted_paths_recursive"](spark, SF).collect()
     assert sorted((r["entry_id"], r["sink_id"], r["n_hops"], r["path"]) for r in got) == plain_paths(spark, frame(spark, SF, "node"))
     assert len({r["repo"] for r in got if not r["repo"].endswith("3")}) > 1
     assert not any(r["search_truncated"] for r in got)
@@ -50,7 +50,7 @@ def test_tainted_paths_of_all_repositories_to_any_depth(spark):
 
 def test_calls_of_all_repositories_are_resolved(spark):
     node = frame(spark, SF, "node")
-    calls, methods, types, fields, supers = ([tuple(r) for r in spark.sql(x, node=node).collect()] for x in Q._SYMBOLS_ALL)
+    calls, methods, types, fields, supers = ([tuple(r) for r in spark.sql(x, node=node).collect()] for x in (Q._CALLS, Q._METHODS, Q._TYPES, Q._FIELDSQ, Q._SUPERS))
     kinds = {(r, c): i for r, c, i in types}
     held, named = set(methods), defaultdict(list)
     for r, c, m in methods:
@@ -70,7 +70,7 @@ def test_calls_of_all_repositories_are_resolved(spark):
         if not found and len(named[repo, symbol]) == 1:
             found = [("T3", named[repo, symbol][0])]
         want += [(call_id, repo, tier, c) for tier, c in found]
-    got = registry.queries()["call_resolution_tiers_all"](spark, SF).collect()
+    got = registry.queries()["call_resolution_tiers"](spark, SF).collect()
     assert sorted((r["call_id"], r["repo"], r["tier"], r["to_class"]) for r in got) == sorted(want)
     assert len({r["repo"] for r in got if not r["repo"].endswith("7")}) > 1
 
@@ -80,6 +80,6 @@ def test_lines_beyond_the_narrow_ones_count(spark, tmp_path):
     rows = [(o, p, s, n, "A") for o, p, s, n in items]
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = lambda name: [tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect()]
-    assert got("queue_orphans_all") == [("topic-6", 0, 1)]
-    assert got("trace_coverage_intersect_all") == [("g3/svc-3",)]
-    assert got("trace_coverage_except_all") == [("g4/svc-4",)]
+    assert got("queue_orphans") == [("topic-6", 0, 1)]
+    assert got("trace_coverage_intersect") == [("g3/svc-3",)]
+    assert got("trace_coverage_except") == [("g4/svc-4",)]

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tracelake.functions.fields import field_key, lookup
 from tracelake.functions.paths import is_noise_path
 from tracelake.functions.vocabulary import ROPA_CATEGORIES, ROPA_UNKNOWN
-from tracelake.operators.inventory import joined_set
 from tracelake.schema import STAGES
 
 NEAR_LINES = 80
@@ -106,11 +105,16 @@ def strong_repos(touches: DataFrame, key: str) -> DataFrame:
 
 
 def queue_hops(nodes: DataFrame, touches: DataFrame, key: str) -> DataFrame:
-    """Producer and consumer of a topic that both handle the field."""
-    rows = nodes.where(F.col("family").isin("queue-pub", "queue-sub") & (F.coalesce("topic", F.lit("?")) != "?") & (F.col("topic") != "")).select("repo", "topic", "family").distinct().join(material_repos(touches, key), "repo", "left_semi")
-    p = rows.where("family = 'queue-pub'").select(F.col("repo").alias("source_repo"), "topic")
-    c = rows.where("family = 'queue-sub'").select(F.col("repo").alias("target_repo"), "topic")
-    return p.join(c, "topic").where("source_repo != target_repo").select(F.lit(key).alias("field_key"), "source_repo", "target_repo", F.col("topic").alias("via"), F.lit("medium").alias("confidence"))
+    """Repositories between which a topic carries the field: each with its role and its number of hops to others on the topic.
+
+    Every source of a topic hops to every target of it but itself, so roles say it all; pairs are not spelled out.
+    """
+    named = nodes.where(F.col("family").isin("queue-pub", "queue-sub") & (F.coalesce("topic", F.lit("?")) != "?") & (F.col("topic") != ""))
+    roles = named.join(material_repos(touches, key), "repo", "left_semi").groupBy("topic", "repo").agg(F.bool_or(F.col("family") == "queue-pub").alias("gives"), F.bool_or(F.col("family") == "queue-sub").alias("takes"))
+    sides = roles.groupBy("topic").agg(F.count_if("gives").alias("givers"), F.count_if("takes").alias("takers"))
+    other = lambda both, n: F.when(F.col(both), F.col(n) - 1).otherwise(F.col(n))
+    ends = F.array(F.struct(F.lit("source").alias("role"), F.when(F.col("gives"), other("takes", "takers")).alias("n_hops")), F.struct(F.lit("target").alias("role"), F.when(F.col("takes"), other("gives", "givers")).alias("n_hops")))
+    return roles.join(sides, "topic").select(F.lit(key).alias("field_key"), F.col("topic").alias("via"), "repo", F.inline(ends)).where("n_hops > 0").withColumn("confidence", F.lit("medium"))
 
 
 def http_hops(edges: DataFrame, touches: DataFrame, key: str) -> DataFrame:
@@ -136,7 +140,3 @@ def probable_handlers(nodes: DataFrame) -> DataFrame:
     pii = F.col("family").isin("pii-field", "pii-log", "pii-storage")
     counts = nodes.groupBy("repo").agg(F.count_if(pii).alias("n_pii"), F.count_if(pii & F.col("pii_classification").isin("sensitive", "special-category-gdpr")).alias("n_sensitive"), F.count_if(F.col("family") == "http-in").alias("n_in"), F.count_if(F.col("family") == "http-out").alias("n_out"))
     return counts.where("n_pii > 0 and n_in > 0 and n_out > 0")
-
-
-def stage_repos(touches: DataFrame) -> DataFrame:
-    return touches.groupBy("field_key", "stage").agg(joined_set(F.col("repo")).alias("repos"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,7 +13,6 @@ from tracelake.storage import stored
 
 #: Partial paths of an entry point that are followed; beyond it a search is marked as truncated.
 MAX_EXPLORED = 20_000
-MAX_DEPTH = 64
 
 
 def resolve_calls(calls: DataFrame, methods: DataFrame, types: DataFrame, fields: DataFrame, supertypes: DataFrame) -> DataFrame:
@@ -38,13 +39,13 @@ def resolve_calls(calls: DataFrame, methods: DataFrame, types: DataFrame, fields
     return better.unionByName(t3.select(*out)).withColumn("confidence", F.when(F.col("ambiguous"), "low").when(F.col("tier") == "T1", "high").when(F.col("tier") == "T2", "medium").otherwise("low"))
 
 
-def tainted_paths(entries: DataFrame, declarations: DataFrame, resolved: DataFrame, sinks: DataFrame, max_depth: int = MAX_DEPTH, max_explored: int = MAX_EXPLORED) -> DataFrame:
+def tainted_paths(entries: DataFrame, declarations: DataFrame, resolved: DataFrame, sinks: DataFrame, max_depth: int | None = None, max_explored: int = MAX_EXPLORED) -> DataFrame:
     """Paths from entry points to sinks along which a value is passed on, by breadth-first joins.
 
     entries: entry_id, repo, scope. declarations: repo, scope, params. resolved: repo, scope, to_scope, arguments, to_params, tier,
     confidence, ord. sinks: sink_id, repo, scope, text. A partial path carries its scopes (none twice) and the tainted names; a hop
     needs an argument that mentions one, and taints the parameters at those places instead. Partial paths are never merged, since
-    they block different scopes. An entry with more than max_explored partial paths stops and is marked. Each level is written to
+    they block different scopes. A path ends where no new scope follows, so any depth is searched unless max_depth says otherwise. An entry with more than max_explored partial paths stops and is marked. Each level is written to
     the shared folder, which keeps lineage short.
     """
 
@@ -52,12 +53,13 @@ def tainted_paths(entries: DataFrame, declarations: DataFrame, resolved: DataFra
         return stored(df, "taint")
 
     level = held(
-        entries.join(declarations.groupBy("repo", "scope").agg(F.first("params").alias("params")), ["repo", "scope"])
+        entries.join(declarations.groupBy("repo", "scope").agg(F.min("params").alias("params")), ["repo", "scope"])
         .where(F.size("params") > 0)
         .select("entry_id", "repo", "scope", F.col("params").alias("tainted"), F.array("scope").alias("scopes"), F.array().cast("array<struct<tier:string,confidence:string,ord:long>>").alias("hops"))
     )
     levels, counts, stopped = [level], None, []
-    for _ in range(max_depth):
+    depths = count() if max_depth is None else range(max_depth)
+    for _ in depths:
         step = level.join(resolved.select("repo", "scope", "to_scope", "arguments", "to_params", "tier", "confidence", "ord"), ["repo", "scope"]).where(~F.array_contains("scopes", F.col("to_scope")))
         names = F.zip_with("arguments", "to_params", lambda a, p: F.when(carried(a, F.col("tainted")).isNotNull(), p))
         step = step.where(F.exists("arguments", lambda a: carried(a, F.col("tainted")).isNotNull()))
@@ -80,7 +82,9 @@ def tainted_paths(entries: DataFrame, declarations: DataFrame, resolved: DataFra
     hit = carried(F.col("text"), F.col("tainted"))
     found = every.join(sinks.select("repo", "scope", "sink_id", "text"), ["repo", "scope"]).withColumn("tainted_at_sink", hit).where("tainted_at_sink is not null")
     weakest = F.coalesce(F.array_min(F.transform("hops", lambda h: confidence_rank(h["confidence"]))), F.lit(3))
-    out = found.select("entry_id", "sink_id", "repo", F.size("hops").cast("long").alias("n_hops"), weakest.alias("_rank"), F.array_join("scopes", ">").alias("path"), "tainted_at_sink", F.transform("hops", lambda h: h["ord"]).alias("_ords"))
+    # The weakest link: of the hops of the least confidence the first.
+    link = F.array_min(F.transform("hops", lambda h, i: F.struct(confidence_rank(h["confidence"]).alias("rank"), i.alias("at"), h["tier"].alias("tier"), h["ord"].alias("ord"))))
+    out = found.select("entry_id", "sink_id", "repo", F.size("hops").cast("long").alias("n_hops"), weakest.alias("_rank"), link["ord"].alias("weakest_link"), link["tier"].alias("weakest_tier"), F.array_join("scopes", ">").alias("path"), "tainted_at_sink", F.transform("hops", lambda h: h["ord"]).alias("_ords"))
     out = out.withColumn("confidence", F.when(F.col("_rank") == 3, "high").when(F.col("_rank") == 2, "medium").otherwise("low"))
     cut = F.lit(False)
     if stopped:

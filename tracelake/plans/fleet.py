@@ -49,7 +49,7 @@ NODE = {
     "host": "case when f = 'http-out' then " + _case("l_orderkey + l_partkey", "concat('svc-', cast((l_partkey * 7 + l_orderkey) % 150 as string), '.prod.local')", "'localhost'", "concat('x-svc-', cast(l_partkey % 30 as string), '-eu.prod.local')", None, "'unknown.host'") + " end",
     "target_repo": "case when f = 'api-client-consumer' or (f = 'http-out' and l_orderkey % 13 = 0) then concat('g', cast((l_partkey % 10) % 25 as string), '/svc-', cast(l_partkey % 10 as string)) end",
     "client": "case when f = 'api-client-consumer' then concat('lib-', cast(l_partkey % 10 as string)) end",
-    "topic": "case when f in ('queue-pub', 'queue-sub') then case when l_orderkey % 11 = 0 then '?' else concat('topic-', cast(l_partkey % 50 as string)) end end",
+    "topic": "case when f in ('queue-pub', 'queue-sub') then case when l_orderkey % 11 = 0 then '?' when f = 'queue-pub' then concat('topic-', cast(l_partkey % 50 as string)) else concat('topic-', cast(l_partkey % 53 as string)) end end",
     "system": "case when f in ('queue-pub', 'queue-sub') then " + _case("l_partkey", *_q("kafka", "rabbitmq", "sqs")) + " end",
     "field_name": "case when f in ('pii-field', 'pii-log') or (f = 'pii-storage' and l_orderkey % 5 <> 0) then " + _case("l_partkey", *_q(*FIELDS)) + " end",
     "pii_classification": "case when f in ('pii-field', 'pii-log', 'pii-storage') then " + _case("l_partkey", *_q("direct-pii", "direct-pii", "direct-pii", "sensitive", "quasi-id", "direct-pii", "sensitive"), None) + " end",
@@ -102,9 +102,9 @@ SPEC = {
 _FROM = {
     "node": (NODE, f"(select *, {FAMILY} as f from {{lineitem}})", ""),
     "repo": (REPO, "{supplier}", ""),
-    "dependency": (DEPENDENCY, "{lineitem}", " where l_partkey % 5 = 0"),
-    "binding": (BINDING, "{supplier}", " where s_suppkey < 40"),
-    "spec": (SPEC, "{supplier}", " where s_suppkey % 3 = 0"),
+    "dependency": (DEPENDENCY, "{lineitem}", ""),
+    "binding": (BINDING, "{supplier}", ""),
+    "spec": (SPEC, "{supplier}", ""),
 }
 _NEEDS = {"node": "lineitem", "repo": "supplier", "dependency": "lineitem", "binding": "supplier", "spec": "supplier"}
 

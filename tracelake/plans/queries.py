@@ -104,12 +104,7 @@ def _(node):
     return inventory.queue_graph(node)
 
 
-@query("queue_orphans", "select topic, count(distinct repo) filter (where family = 'queue-pub') as n_producers, count(distinct repo) filter (where family = 'queue-sub') as n_consumers from node where family in ('queue-pub', 'queue-sub') and line < 40 group by topic having n_producers = 0 or n_consumers = 0")
-def _(node):
-    return inventory.queue_graph(node.where("line < 40")).where("produce_only or consume_only").select("topic", "n_producers", "n_consumers")
-
-
-@query("queue_orphans_all", "select topic, count(distinct repo) filter (where family = 'queue-pub') as n_producers, count(distinct repo) filter (where family = 'queue-sub') as n_consumers from node where family in ('queue-pub', 'queue-sub') group by topic having n_producers = 0 or n_consumers = 0")
+@query("queue_orphans", "select topic, count(distinct repo) filter (where family = 'queue-pub') as n_producers, count(distinct repo) filter (where family = 'queue-sub') as n_consumers from node where family in ('queue-pub', 'queue-sub') group by topic having n_producers = 0 or n_consumers = 0")
 def _(node):
     return inventory.queue_graph(node).where("produce_only or consume_only").select("topic", "n_producers", "n_consumers")
 
@@ -307,10 +302,13 @@ def _(node):
     return inventory.language_breakdown(node.select("repo", F.expr(_LANG).alias("language"), "ord"))
 
 
-@query("family_baseline_drop", "select b.family, b.was, coalesce(n, 0) as n from (select family, count(*) + 200 as was from node group by 1) b left join (select family, count(*) as n from node where line < 390 group by 1) c using (family) where coalesce(n, 0) < was * 0.95")
+_WAS = "n + floor(n * (length(family) % 3) / 20.0)"
+
+
+@query("family_baseline_drop", f"select family, cast({_WAS} as bigint) as was, n from (select family, count(*) as n from node group by 1) where n < ({_WAS}) * 0.95")
 def _(node):
-    before = inventory.family_counts(node).select("family", (F.col("n") + 200).alias("n"))
-    return inventory.baseline_drops(inventory.family_counts(node.where("line < 390")), before)
+    now = inventory.family_counts(node)
+    return inventory.baseline_drops(now, now.select("family", F.expr(f"cast({_WAS} as bigint) as n")))
 
 
 @query("auth_cards", "select r.repo, coalesce(n_http_in, 0) as n_http_in, array_to_string(p, ',') as patterns, case when list_has_any(p, ['secured-authenticated', 'spring-pre-authorize']) then 'authenticated-default' when list_has_any(p, ['permit-all-config', 'is-anonymous']) then 'anonymous-or-permit-all' when n_http_in > 0 and len(p) = 0 then 'http-without-auth-annotations' else 'unknown' end as maturity from repo r left join (select repo, count(*) filter (where family = 'http-in') as n_http_in, coalesce(list_sort(list_distinct(list(coalesce(pattern, 'unknown')) filter (where family = 'auth'))), []) as p from node where family in ('auth', 'http-in') group by repo) using (repo)", ("node", "repo"))
@@ -400,7 +398,7 @@ _MATERIAL = "(family in ('pii-field', 'pii-log', 'pii-storage', 'queue-pub') or
 _STRONG = "(family in ('pii-log', 'pii-storage', 'queue-pub', 'queue-sub') or stage in ('store', 'log', 'delete', 'encrypt'))"
 
 
-@query("pii_queue_hops", f"+{S_TOUCH}, material as (select distinct repo from touch where field_key = 'iban' and {_MATERIAL}), q as (select distinct repo, topic, family from node where family in ('queue-pub', 'queue-sub') and topic <> '?' and topic <> '' and repo in (select repo from material)) select 'iban' as field_key, p.repo as source_repo, c.repo as target_repo, p.topic as via, 'medium' as confidence from q p join q c on p.topic = c.topic and p.family = 'queue-pub' and c.family = 'queue-sub' and p.repo <> c.repo")
+@query("pii_queue_hops", f"+{S_TOUCH}, material as (select distinct repo from touch where field_key = 'iban' and {_MATERIAL}), q as (select distinct repo, topic, family from node where family in ('queue-pub', 'queue-sub') and topic <> '?' and topic <> '' and repo in (select repo from material)), hops as (select p.repo as source_repo, c.repo as target_repo, p.topic as via from q p join q c on p.topic = c.topic and p.family = 'queue-pub' and c.family = 'queue-sub' and p.repo <> c.repo) select 'iban' as field_key, via, source_repo as repo, 'source' as role, count(*) as n_hops, 'medium' as confidence from hops group by via, source_repo union all select 'iban', via, target_repo, 'target', count(*), 'medium' from hops group by via, target_repo")
 def _(node):
     return privacy.queue_hops(node, privacy.touchpoints(node), "iban")
 
@@ -467,22 +465,17 @@ def _(node):
     return derive.enclosing(node.where("family = 'call-site'").select("repo", "file", "line", "ord"), spans)
 
 
-@query("prune_unresolvable_semi", "select family, count(*) as n from node n where family <> 'call-site' or library_hint is not null or exists (select 1 from node d where d.family = 'sql' and d.repo = n.repo and d.symbol = n.symbol and d.line < 30) group by family")
-def _(node):
-    return derive.prune_calls(node, node.where("family = 'sql' and line < 30")).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("prune_unresolvable_semi_all", "select family, count(*) as n from node n where family <> 'call-site' or library_hint is not null or exists (select 1 from node d where d.family = 'sql' and d.repo = n.repo and d.symbol = n.symbol) group by family")
+@query("prune_unresolvable_semi", "select family, count(*) as n from node n where family <> 'call-site' or library_hint is not null or exists (select 1 from node d where d.family = 'sql' and d.repo = n.repo and d.symbol = n.symbol) group by family")
 def _(node):
     return derive.prune_calls(node, node.where("family = 'sql'")).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Symbol tables of a repository, projected: classes C0..C5 whose fields f0..f2 are of classes; C1 and C4 are interfaces.
-_CALLS = "select ord as call_id, repo, concat('C', cast(line % 6 as string)) as owner, concat('m', cast(line % 5 as string)) as method, concat('m', cast(ord % 9 as string)) as symbol, case ord % 5 when 0 then 'this.f0' when 1 then 'f1' when 2 then 's.f2' when 3 then 'a.b' end as receiver, case when line % 2 = 0 then 's' end as self_name, line from {node} where family = 'call-site' and repo like '%7'"
-_METHODS = "select distinct repo, concat('C', cast(line % 6 as string)) as class, concat('m', cast(ord % 7 as string)) as method from {node} where family in ('sql', 'auth') and ord % 3 = 0 and repo like '%7'"
-_TYPES = "select distinct repo, concat('C', cast(line % 6 as string)) as class, line % 6 in (1, 4) as is_interface from {node} where family = 'auth' and repo like '%7'"
-_FIELDSQ = "select distinct repo, concat('C', cast(line % 6 as string)) as class, concat('f', cast(line % 3 as string)) as field, concat('C', cast((line * 5 + 1) % 6 as string)) as type from {node} where family = 'auth' and repo like '%7'"
-_SUPERS = "select distinct repo, concat('C', cast(line % 6 as string)) as class, concat('C', cast((line % 6 + 1) % 6 as string)) as supertype from {node} where family = 'auth' and repo like '%7'"
+_CALLS = "select ord as call_id, repo, concat('C', cast(line % 6 as string)) as owner, concat('m', cast(line % 5 as string)) as method, concat('m', cast(ord % 9 as string)) as symbol, case ord % 5 when 0 then 'this.f0' when 1 then 'f1' when 2 then 's.f2' when 3 then 'a.b' end as receiver, case when line % 2 = 0 then 's' end as self_name, line from {node} where family = 'call-site'"
+_METHODS = "select distinct repo, concat('C', cast(line % 6 as string)) as class, concat('m', cast(ord % 7 as string)) as method from {node} where family in ('sql', 'auth')"
+_TYPES = "select distinct repo, concat('C', cast(line % 6 as string)) as class, line % 6 in (1, 4) as is_interface from {node} where family = 'auth'"
+_FIELDSQ = "select distinct repo, concat('C', cast(line % 6 as string)) as class, concat('f', cast(line % 3 as string)) as field, concat('C', cast((line * 5 + 1) % 6 as string)) as type from {node} where family = 'auth'"
+_SUPERS = "select distinct repo, concat('C', cast(line % 6 as string)) as class, concat('C', cast((line % 6 + 1) % 6 as string)) as supertype from {node} where family = 'auth'"
 
 
 def _symbols(node):
@@ -500,16 +493,11 @@ resolved as (select * from better union all select c.call_id, c.repo, c.symbol,
 graded as (select *, case when ambiguous then 'low' when tier = 'T1' then 'high' when tier = 'T2' then 'medium' else 'low' end as confidence from resolved)"""
 
 
-@query("call_resolution_tiers", f"+{S_RESOLVE} select call_id, repo, symbol, tier, to_class, ambiguous, confidence from graded")
-def _(node):
-    return resolve.resolve_calls(*_symbols(node)).select("call_id", "repo", "symbol", "tier", "to_class", "ambiguous", "confidence")
-
-
 # A call graph for taint: methods n0..n11 of a repository; arguments are written from the parameters' names.
-_DECL = "select distinct repo, concat('n', cast(line % 12 as string)) as scope, case line % 12 % 4 when 3 then 'b,a' else 'a,b' end as params from {node} where family in ('http-in', 'sql') and repo like '%3'"
-_HOPS = "select repo, concat('n', cast(line % 12 as string)) as scope, concat('n', cast((line * 7 + k) % 12 as string)) as to_scope, case k when 0 then 'wrap(a),x' when 1 then 'x,b + 1' else 'aa,bb' end as arguments, case k when 0 then 'high' when 1 then 'medium' else 'low' end as confidence, min(ord) as ord from (select repo, line, ord % 3 as k, ord from {node} where family = 'call-site' and repo like '%3' and line < 60) group by 1, 2, 3, 4, 5"
-_SINKS = "select distinct repo, concat('n', cast(line % 12 as string)) as scope, concat(repo, '#', cast(line % 12 as string)) as sink_id, case line % 2 when 0 then 'execute(a)' else 'run(b)' end as text from {node} where family = 'sql' and line % 5 = 0 and repo like '%3'"
-_ENTRIES = "select distinct repo, concat('n', cast(line % 12 as string)) as scope, concat(repo, '@', cast(line % 12 as string)) as entry_id from {node} where family = 'http-in' and line % 12 < 3 and repo like '%3'"
+_DECL = "select distinct repo, concat('n', cast(line % 12 as string)) as scope, case line % 12 % 4 when 3 then 'b,a' else 'a,b' end as params from {node} where family in ('http-in', 'sql')"
+_HOPS = "select repo, concat('n', cast(line % 12 as string)) as scope, concat('n', cast((line * 7 + k) % 12 as string)) as to_scope, case k when 0 then 'wrap(a),x' when 1 then 'x,b + 1' else 'aa,bb' end as arguments, case k when 0 then 'high' when 1 then 'medium' else 'low' end as confidence, min(ord) as ord from (select repo, line, ord % 3 as k, ord from {node} where family = 'call-site') group by 1, 2, 3, 4, 5"
+_SINKS = "select distinct repo, concat('n', cast(line % 12 as string)) as scope, concat(repo, '#', cast(line % 12 as string)) as sink_id, case line % 2 when 0 then 'execute(a)' else 'run(b)' end as text from {node} where family = 'sql'"
+_ENTRIES = "select distinct repo, concat('n', cast(line % 12 as string)) as scope, concat(repo, '@', cast(line % 12 as string)) as entry_id from {node} where family = 'http-in'"
 
 
 def _taint(node):
@@ -517,7 +505,7 @@ def _taint(node):
     decl, hops, sinks, entries = (spark.sql(x, node=node) for x in (_DECL, _HOPS, _SINKS, _ENTRIES))
     decl = decl.withColumn("params", F.split("params", ","))
     resolved = hops.withColumn("arguments", F.split("arguments", ",")).join(decl.select("repo", F.col("scope").alias("to_scope"), F.col("params").alias("to_params")), ["repo", "to_scope"]).withColumn("tier", F.lit("T1"))
-    return resolve.tainted_paths(entries, decl, resolved, sinks, max_depth=5)
+    return resolve.tainted_paths(entries, decl, resolved, sinks)
 
 
 S_TAINT = f"""recursive decl as ({_DECL.format(node='node')}), hops as ({_HOPS.format(node='node')}), sinks as ({_SINKS.format(node='node')}), entries as ({_ENTRIES.format(node='node')}),
@@ -528,7 +516,7 @@ walk(entry_id, repo, scope, tainted, scopes, ords, ranks) as (
   select w.entry_id, w.repo, c.to_scope, list_distinct(list_filter(list_transform(range(1, len(c.args) + 1), lambda i: case when list_has_any(regexp_extract_all(c.args[i], '[A-Za-z_][A-Za-z0-9_]*'), w.tainted) then c.to_params[i] end), lambda x: x is not null)),
     list_append(w.scopes, c.to_scope), list_append(w.ords, c.ord), list_append(w.ranks, case c.confidence when 'high' then 3 when 'medium' then 2 else 1 end)
   from walk w join called c on c.repo = w.repo and c.scope = w.scope
-  where len(w.ords) < 5 and not list_contains(w.scopes, c.to_scope) and len(list_filter(c.args, lambda a: list_has_any(regexp_extract_all(a, '[A-Za-z_][A-Za-z0-9_]*'), w.tainted))) > 0),
+  where not list_contains(w.scopes, c.to_scope) and len(list_filter(c.args, lambda a: list_has_any(regexp_extract_all(a, '[A-Za-z_][A-Za-z0-9_]*'), w.tainted))) > 0),
 found as (select w.*, s.sink_id, list_min(list_intersect(regexp_extract_all(s.text, '[A-Za-z_][A-Za-z0-9_]*'), w.tainted)) as hit, coalesce(list_min(w.ranks), 3) as rk from walk w join sinks s using (repo, scope)),
 paths as (select entry_id, sink_id, repo, len(ords) as n_hops, array_to_string(scopes, '>') as path, hit as tainted_at_sink, case rk when 3 then 'high' when 2 then 'medium' else 'low' end as confidence, rk, ords from found where hit is not null)"""
 
@@ -539,67 +527,22 @@ def _recursive(name: str, tail: str):
 
 @query("tainted_paths_recursive")
 def _(node):
-    return _taint(node).select("entry_id", "sink_id", "repo", "n_hops", "path", "tainted_at_sink", "confidence")
+    return _taint(node).select("entry_id", "sink_id", "repo", "n_hops", "path", "tainted_at_sink", "confidence", "search_truncated")
 
 
-_recursive("tainted_paths_recursive", " select entry_id, sink_id, repo, n_hops, path, tainted_at_sink, confidence from paths")
+_recursive("tainted_paths_recursive", " select entry_id, sink_id, repo, n_hops, path, tainted_at_sink, confidence, false as search_truncated from paths")
 
 
 @query("taint_shortest_strongest")
 def _(node):
-    return resolve.shortest_strongest(_taint(node)).select("entry_id", "sink_id", "repo", "n_hops", "path", "confidence")
+    return resolve.shortest_strongest(_taint(node)).select("entry_id", "sink_id", "repo", "n_hops", "path", "confidence", "search_truncated")
 
 
-_recursive("taint_shortest_strongest", ", best as (select *, row_number() over (partition by entry_id, sink_id order by n_hops, rk desc, ords) as k from paths) select entry_id, sink_id, repo, n_hops, path, confidence from best where k = 1")
+_recursive("taint_shortest_strongest", ", best as (select *, row_number() over (partition by entry_id, sink_id order by n_hops, rk desc, ords) as k from paths) select entry_id, sink_id, repo, n_hops, path, confidence, false as search_truncated from best where k = 1")
 
-# The same over all repositories, lines, sinks and entries, to any depth; the queries above stay as narrow as their SQL.
-
-
-def _whole(statement: str, *cuts: str) -> str:
-    for x in cuts:
-        assert x in statement, x
-        statement = statement.replace(x, "")
-    return statement
-
-
-_TAINT_CUTS = (" and repo like '%3'", " and line < 60", " and line % 5 = 0", " and line % 12 < 3")
-_TAINT_ALL = [_whole(x, *[c for c in _TAINT_CUTS if c in x]) for x in (_DECL, _HOPS, _SINKS, _ENTRIES)]
-S_TAINT_ALL = _whole(S_TAINT, *_TAINT_CUTS, "len(w.ords) < 5 and ")
-
-
-def _taint_all(node):
-    decl, hops, sinks, entries = (node.sparkSession.sql(x, node=node) for x in _TAINT_ALL)
-    decl = decl.withColumn("params", F.split("params", ","))
-    resolved = hops.withColumn("arguments", F.split("arguments", ",")).join(decl.select("repo", F.col("scope").alias("to_scope"), F.col("params").alias("to_params")), ["repo", "to_scope"]).withColumn("tier", F.lit("T1"))
-    return resolve.tainted_paths(entries, decl, resolved, sinks)
-
-
-def _recursive_all(name: str, tail: str):
-    SQL[name] = "with recursive " + sql("+" + S_TAINT_ALL.removeprefix("recursive ") + tail, "node").removeprefix("with ")
-
-
-@query("tainted_paths_recursive_all")
-def _(node):
-    return _taint_all(node).select("entry_id", "sink_id", "repo", "n_hops", "path", "tainted_at_sink", "confidence", "search_truncated")
-
-
-_recursive_all("tainted_paths_recursive_all", " select entry_id, sink_id, repo, n_hops, path, tainted_at_sink, confidence, false as search_truncated from paths")
-
-
-@query("taint_shortest_strongest_all")
-def _(node):
-    return resolve.shortest_strongest(_taint_all(node)).select("entry_id", "sink_id", "repo", "n_hops", "path", "confidence", "search_truncated")
-
-
-_recursive_all("taint_shortest_strongest_all", ", best as (select *, row_number() over (partition by entry_id, sink_id order by n_hops, rk desc, ords) as k from paths) select entry_id, sink_id, repo, n_hops, path, confidence, false as search_truncated from best where k = 1")
-
-_SYMBOL_CUTS = (" and ord % 3 = 0", " and repo like '%7'")
-_SYMBOLS_ALL = [_whole(x, *[c for c in _SYMBOL_CUTS if c in x]) for x in (_CALLS, _METHODS, _TYPES, _FIELDSQ, _SUPERS)]
-
-
-@query("call_resolution_tiers_all", f"+{_whole(S_RESOLVE, *_SYMBOL_CUTS)} select call_id, repo, symbol, tier, to_class, ambiguous, confidence from graded")
+@query("call_resolution_tiers", f"+{S_RESOLVE} select call_id, repo, symbol, tier, to_class, ambiguous, confidence from graded")
 def _(node):
-    return resolve.resolve_calls(*[node.sparkSession.sql(x, node=node) for x in _SYMBOLS_ALL]).select("call_id", "repo", "symbol", "tier", "to_class", "ambiguous", "confidence")
+    return resolve.resolve_calls(*_symbols(node)).select("call_id", "repo", "symbol", "tier", "to_class", "ambiguous", "confidence")
 
 
 # Producers, traces, libraries, discovery.
@@ -619,13 +562,7 @@ def _(node, dependency, binding):
     return fleet.producer_hits(node, dependency, binding).select("source_repo", "target_repo", "kind", "confidence", "evidence")
 
 
-@query("trace_upstream_strongest", f"+{S_HITS}, edges as (select distinct repo as source_repo, target_repo, 'high' as confidence, 'api-client' as evidence from node where family = 'api-client-consumer' and target_repo is not null and repo <> target_repo), targets as (select target_repo from binding where target_repo like '%1'), u as (select target_repo, source_repo, 'graph' as kind, confidence, evidence from edges union all select target_repo, source_repo, concat('producer-', kind), confidence, evidence from hits) select * from u where target_repo in (select target_repo from targets)", _PROD)
-def _(node, dependency, binding):
-    edges = calls.api_client_edges(node).select("source_repo", "target_repo", F.lit("high").alias("confidence"), F.lit("api-client").alias("evidence")).distinct()
-    return fleet.trace_upstream(edges, fleet.producer_hits(node, dependency, binding), binding.select("target_repo").where("target_repo like '%1'"))
-
-
-@query("trace_upstream_strongest_all", f"+{S_HITS}, edges as (select distinct repo as source_repo, target_repo, 'high' as confidence, 'api-client' as evidence from node where family = 'api-client-consumer' and target_repo is not null and repo <> target_repo), targets as (select target_repo from binding), u as (select target_repo, source_repo, 'graph' as kind, confidence, evidence from edges union all select target_repo, source_repo, concat('producer-', kind), confidence, evidence from hits) select * from u where target_repo in (select target_repo from targets)", _PROD)
+@query("trace_upstream_strongest", f"+{S_HITS}, edges as (select distinct repo as source_repo, target_repo, 'high' as confidence, 'api-client' as evidence from node where family = 'api-client-consumer' and target_repo is not null and repo <> target_repo), targets as (select target_repo from binding), u as (select target_repo, source_repo, 'graph' as kind, confidence, evidence from edges union all select target_repo, source_repo, concat('producer-', kind), confidence, evidence from hits) select * from u where target_repo in (select target_repo from targets)", _PROD)
 def _(node, dependency, binding):
     edges = calls.api_client_edges(node).select("source_repo", "target_repo", F.lit("high").alias("confidence"), F.lit("api-client").alias("evidence")).distinct()
     return fleet.trace_upstream(edges, fleet.producer_hits(node, dependency, binding), binding.select("target_repo"))
@@ -636,30 +573,21 @@ def _(node, binding):
     return fleet.target_facts(node, binding)
 
 
-_CATALOGUE, _TRACED = "family = 'sql-field-marker' and line < 9", "family = 'api-client-consumer' and line < 12"
+_CATALOGUE, _TRACED = "family = 'sql-field-marker'", "select target_repo as repo from node where family = 'api-client-consumer'"
 
 
-@query("trace_coverage_intersect", f"select distinct repo from node where {_CATALOGUE} intersect select distinct repo from node where {_TRACED}")
-def _(node):
-    return fleet.coverage(node.where(_CATALOGUE), node.where(_TRACED))[0]
+def _traced(node):
+    return node.where("family = 'api-client-consumer'").select(F.col("target_repo").alias("repo"))
 
 
-@query("trace_coverage_except", f"select distinct repo from node where {_CATALOGUE} except select distinct repo from node where {_TRACED}")
+@query("trace_coverage_intersect", f"select distinct repo from node where {_CATALOGUE} intersect {_TRACED}")
 def _(node):
-    return fleet.coverage(node.where(_CATALOGUE), node.where(_TRACED))[1]
-
+    return fleet.coverage(node.where(_CATALOGUE), _traced(node))[0]
 
-_CATALOGUE_ALL, _TRACED_ALL = "family = 'sql-field-marker'", "family = 'api-client-consumer'"
 
-
-@query("trace_coverage_intersect_all", f"select distinct repo from node where {_CATALOGUE_ALL} intersect select distinct repo from node where {_TRACED_ALL}")
+@query("trace_coverage_except", f"select distinct repo from node where {_CATALOGUE} except {_TRACED}")
 def _(node):
-    return fleet.coverage(node.where(_CATALOGUE_ALL), node.where(_TRACED_ALL))[0]
-
-
-@query("trace_coverage_except_all", f"select distinct repo from node where {_CATALOGUE_ALL} except select distinct repo from node where {_TRACED_ALL}")
-def _(node):
-    return fleet.coverage(node.where(_CATALOGUE_ALL), node.where(_TRACED_ALL))[1]
+    return fleet.coverage(node.where(_CATALOGUE), _traced(node))[1]
 
 
 @query("library_consumers", f"select concat_ws(':', group_id, artifact_id) as coordinate, count(distinct repo) as n_consumers, {S_JOIN('version')} as versions from dependency group by 1", ("dependency",))
@@ -719,13 +647,7 @@ def _(node):
     return fleet.generic_classes(node)
 
 
-@query("promotion_screen", "+c as (select artifact_id, case when ord % 7 = 0 then '' when ord % 3 = 0 then concat(repo, 'x') else repo end as target_repo from dependency) select artifact_id, target_repo, case when target_repo = '' then 'no target' when target_repo not in (select repo from repo) then 'unknown target' when target_repo not in (select repo from node where family = 'http-in' and line < 12) then 'target has no endpoints' end as refusal from c", ("node", "repo", "dependency"))
-def _(node, repo, dependency):
-    candidates = dependency.selectExpr("artifact_id", "case when ord % 7 = 0 then '' when ord % 3 = 0 then concat(repo, 'x') else repo end as target_repo")
-    return fleet.screen_promotions(candidates, repo, node.where("family = 'http-in' and line < 12"))
-
-
-@query("promotion_screen_all", "+c as (select artifact_id, case when ord % 7 = 0 then '' when ord % 3 = 0 then concat(repo, 'x') else repo end as target_repo from dependency) select artifact_id, target_repo, case when target_repo = '' then 'no target' when target_repo not in (select repo from repo) then 'unknown target' when target_repo not in (select repo from node where family = 'http-in') then 'target has no endpoints' end as refusal from c", ("node", "repo", "dependency"))
+@query("promotion_screen", "+c as (select artifact_id, case when ord % 7 = 0 then '' when ord % 3 = 0 then concat(repo, 'x') else repo end as target_repo from dependency) select artifact_id, target_repo, case when target_repo = '' then 'no target' when target_repo not in (select repo from repo) then 'unknown target' when target_repo not in (select repo from node where family = 'http-in') then 'target has no endpoints' end as refusal from c", ("node", "repo", "dependency"))
 def _(node, repo, dependency):
     candidates = dependency.selectExpr("artifact_id", "case when ord % 7 = 0 then '' when ord % 3 = 0 then concat(repo, 'x') else repo end as target_repo")
     return fleet.screen_promotions(candidates, repo, node.where("family = 'http-in'"))
@@ -809,10 +731,12 @@ def _(read):
     return read("documents").select("doc_id", F.md5(text.table_cell(F.col("text"))).alias("cell"), F.md5(text.markdown(F.col("text"), 60)).alias("short"))
 
 
-@query("alias_search", "select raw, regexp_extract(lower(raw), '(^|[^a-z0-9-])(svc-[0-9])\\.prod', 2) as alias, count(*) as n from node where family = 'auth' group by 1, 2")
+@query("alias_search", "select raw, coalesce('g/' || nullif(regexp_extract(lower(raw), '(^|[^a-z0-9])(svc-[0-9])([^a-z0-9]|$)', 2), ''), '') as repo, count(*) as n from node group by 1, 2")
 def _(node):
-    found = F.regexp_extract(F.lower("raw"), r"(?<![a-z0-9-])(svc-[0-9])(?=\.prod)", 1)
-    return node.where("family = 'auth'").select("raw", found.alias("alias")).groupBy("raw", "alias").agg(F.count(F.lit(1)).alias("n"))
+    from tracelake.extractors.scan import Binding, named_services
+
+    texts = node.groupBy(F.col("raw").alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    return named_services(texts, [Binding(f"g/svc-{k}") for k in range(10)]).select(F.col("text").alias("raw"), F.coalesce("repo", F.lit("")).alias("repo"), "n")
 
 
 @query("path_filter", "select distinct path from node where family in ('http-in', 'http-out') and path like '%lines3%' and not path like '%extra%'")
