@@ -13,10 +13,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names; one of our own where it is unset and driver and executors are one process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that driver and executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="tracelake-")
         atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
