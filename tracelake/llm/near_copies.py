@@ -39,7 +39,7 @@ HOT, MOST_HOT = 1, 500_000
 MOST_SHARED = 4_000_000
 STARS = 2
 #: Rows of a tile, and cells of the sketches that it carries at most.
-TILE, COARSE = 256, 128
+TILE, COARSE = 256, 512
 #: Rows to look up that are broadcast at most (8 bytes each).
 FEW = 300_000
 #: Words that a worker remembers.
@@ -279,11 +279,12 @@ class Tile:
             at = np.arange(max(lo, k + 1) if same else lo, hi)
             at = at[other.group[at] != self.group[k]]
             # Sizes so near each other have sketches of the same length, or of twice or half of it.
-            width = max(8, len(self.sketches[k]) // 2)
-            if len(at) and self.sketches[k]:
-                counts, fits = other.cells(width)
-                bound = np.minimum(counts[at], self.cells(width)[0][k]).sum(axis=1)
-                at = at[~fits[at] | _similar(bound, other.n[at], self.n[k])]
+            own = len(self.sketches[k])
+            for width in (max(8, own // 2), own):
+                if len(at) and own:
+                    counts, fits = other.cells(width)
+                    bound = np.minimum(counts[at], self.cells(width)[0][k]).sum(axis=1)
+                    at = at[~fits[at] | _similar(bound, other.n[at], self.n[k])]
             found += [(min(self.row[k], x), max(self.row[k], x)) for x in other.row[at].tolist()]
         return found
 
