@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.bpe import ALL, character_class
-from tracelake.llm.common import documents, map_arrow, map_rows
+from tracelake.llm.common import documents, map_arrow, map_rows, release
 from tracelake.llm.hashing import mix, rolling
 
 BITS = 16
@@ -305,7 +305,7 @@ def passages(docs: DataFrame, limit: int = TRAIN_DOCS, passage: int = PASSAGE) -
 
 def identify(docs: DataFrame, model: Crf | None = None, limit: int = TRAIN_DOCS) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document. No shuffle; the model is broadcast, its size is fixed."""
-    held = docs.sparkSession.sparkContext.broadcast(fit(passages(docs, limit)) if model is None else model)
+    held = docs.sparkSession.sparkContext.broadcast(learned(docs, limit) if model is None else model)
 
     def make():
         label = Labeller(held.value)
@@ -319,9 +319,16 @@ def identify(docs: DataFrame, model: Crf | None = None, limit: int = TRAIN_DOCS)
     return map_arrow(documents(docs).select("doc_id", held_out().alias("held_out"), "text"), SCHEMA, make)
 
 
+def learned(docs: DataFrame, limit: int = TRAIN_DOCS) -> Crf:
+    """The model of a table's own labels."""
+    crf = fit(passages(docs, limit))
+    release()
+    return crf
+
+
 def rows_in_a_language(docs: DataFrame, least: float, languages: list[str] | None = None, model: Crf | None = None, limit: int = TRAIN_DOCS) -> DataFrame:
     """The rows of docs in which one of the languages (all learned ones if None) has at least this share of the words, with docs' own columns; none is shuffled."""
-    held = docs.sparkSession.sparkContext.broadcast(fit(passages(docs, limit)) if model is None else model)
+    held = docs.sparkSession.sparkContext.broadcast(learned(docs, limit) if model is None else model)
 
     def make():
         label = Labeller(held.value)

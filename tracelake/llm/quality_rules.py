@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import binary, documents, map_arrow, map_rows
+from tracelake.llm.common import binary, documents, map_arrow, map_rows, release
 from tracelake.llm.hashing import mix, rolling, spans
 
 #: Buckets of hashed features, as a power of two, for each kind of n-gram.
@@ -194,8 +194,8 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(ab[0]) / scale, float(ab[1])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, limit: int) -> list:
-    """(doc_id, quality, buckets, shares) of at most `limit` labelled rows, features made on the executors from whole texts.
+def training_rows(docs: DataFrame, labels: DataFrame, limit: int) -> pa.Table:
+    """(doc_id, quality, h, buckets, shares) of at most `limit` labelled rows, features made on the executors from whole texts.
 
     Different labels are taken by the order of a hash of doc_id, and joined by broadcast, since the limit bounds them. Of their
     documents, copies count once, and the first by that hash are taken.
@@ -204,12 +204,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int) -> list:
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(limit)
     met = documents(docs).join(F.broadcast(wanted), "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("h"), "text")
     once = met.groupBy("doc_id", "quality", "h").agg(F.first("text").alias("text"))
-    rows = once.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "h").limit(limit).repartition(TRAIN_TASKS).select("doc_id", "quality", "text")
+    rows = once.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "h").limit(limit).repartition(TRAIN_TASKS).select("doc_id", "quality", "h", "text")
 
     def make():
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
             buckets, shares = [], []
-            for t in b.column(2).to_pylist():
+            for t in b.column(3).to_pylist():
                 got: list[list[np.ndarray]] = [[] for _ in range(KINDS)]
                 for kind, h in features(t.encode("utf-8", "replace")):
                     got[kind].append(h)
@@ -221,17 +221,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int) -> list:
                         s.append(n / n.sum())
                 buckets.append(np.concatenate(i).astype("<i4").tobytes())
                 shares.append(np.concatenate(s).astype("<f4").tobytes())
-            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), binary(buckets), binary(shares)], ["doc_id", "quality", "buckets", "shares"])
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), binary(buckets), binary(shares)], ["doc_id", "quality", "h", "buckets", "shares"])
 
         return batch
 
-    return map_arrow(rows, "doc_id long, quality int, buckets binary, shares binary", make).collect()
+    return map_arrow(rows, "doc_id long, quality int, h long, buckets binary, shares binary", make).toArrow()
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Model:
-    got = sorted(training_rows(docs, labels, limit), key=lambda r: (r["doc_id"], r["quality"], bytes(r["buckets"]), bytes(r["shares"])))
-    rows = [(np.frombuffer(r["buckets"], dtype="<i4"), np.frombuffer(r["shares"], dtype="<f4")) for r in got]
-    return fit(rows, np.array([r["quality"] for r in got], dtype=np.int64), np.array([r["doc_id"] % 3 == 0 for r in got], dtype=bool))
+    got = training_rows(docs, labels, limit)
+    got = got.sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("h", "ascending")]).combine_chunks()
+    rows = [(np.frombuffer(i.as_buffer(), dtype="<i4"), np.frombuffer(s.as_buffer(), dtype="<f4")) for i, s in zip(got.column("buckets"), got.column("shares"), strict=True)]
+    quality, ids = (got.column(c).to_numpy().astype(np.int64) for c in ("quality", "doc_id"))
+    model = fit(rows, quality, ids % 3 == 0)
+    del got, rows
+    release()
+    return model
 
 
 def _judged(texts: list[str], model: Model, keep_at: float) -> list[pa.Array]:
