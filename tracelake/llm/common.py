@@ -120,6 +120,7 @@ def map_rows(docs: DataFrame, schema: str, make: Callable[[], Callable[[list[str
     names = ["_row", *(x.split()[0] for x in schema.split(", "))]
 
     def batches() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        worker_value(("rows",), lambda: None)
         f = make()
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -40,7 +40,7 @@ ROUNDS = 60
 #: Words whose transfer matrices are multiplied one after the other.
 BLOCK = 64
 #: Words that a worker remembers; beyond it starts anew.
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 100_000
 HELD_OUT = 2
 UNDETERMINED = "und"
 
