@@ -23,9 +23,9 @@ BEYOND_LATIN = re.compile("[^\\x00-ɏ‐-‧‰-⁞€]")
 BEYOND_PLANE = re.compile("[\U00010000-\U0010ffff]")
 LATIN, PLANE, ALL = 0x24F, 0xFFFF, sys.maxunicode
 #: Pre-tokens that a worker remembers at most (but for those of one batch). Bounds memory only: results do not depend on it.
-MEMO_ENTRIES = 150_000
+MEMO_ENTRIES = 600_000
 #: New pre-tokens that the library encodes in one go.
-LEARNED_TOGETHER = 4000
+LEARNED_TOGETHER = 20_000
 
 
 def _in_class(kind: str, c: str) -> bool:
@@ -136,7 +136,8 @@ class Encoder:
     is a pre-token of its own. Other vocabularies, and texts that pretokens() does not split, go to the library whole.
     """
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, entries: int | None = None):
+        self.entries = entries
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -174,7 +175,7 @@ class Encoder:
 
     def many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        if len(self.memo) > MEMO_ENTRIES // 2:
+        if len(self.memo) > (self.entries or MEMO_ENTRIES) // 2:
             self.memo.old = {}
             self.memo = Memo(self.memo)
         memo = self.memo
@@ -196,6 +197,6 @@ class Encoder:
         return out
 
 
-def encoder(key: tuple, text) -> Encoder:
-    """The worker's encoder of a broadcast vocabulary."""
-    return worker_value(("encoder", key), lambda: Encoder(text.value))
+def encoder(key: tuple, text, entries: int | None = None) -> Encoder:
+    """The worker's encoder of a broadcast vocabulary, with a memo of so many pre-tokens."""
+    return worker_value(("encoder", key, entries), lambda: Encoder(text.value, entries))

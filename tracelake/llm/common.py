@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 ROWS_AT_A_TIME, BYTES_AT_A_TIME = 512, 2 << 20
 
 #: Batches after which a worker gives freed memory back.
-BATCHES_TO_RELEASE = 8
+BATCHES_TO_RELEASE = 64
 
 #: Values that Python workers keep from task to task, by the key of what made them.
 WORKER: dict = {}
@@ -106,7 +106,7 @@ def map_arrow(df: DataFrame, schema: str | T.StructType, make: Callable[[], Call
             for part in parts(b, rows):
                 if (out := f(part)) is not None:
                     yield out
-            if k % BATCHES_TO_RELEASE == 0:
+            if (k + 1) % BATCHES_TO_RELEASE == 0:
                 release()
         del f
         release()

@@ -98,13 +98,13 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Slot
     return slots, made
 
 
-def piece_table(docs: DataFrame, vocabulary: str, end_id: int | None = 2, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces with their ids (little-endian unsigned 32-bit), written to the shared folder."""
+def piece_table(docs: DataFrame, vocabulary: str, end_id: int | None = 2, capacity: int = CAPACITY, memo: int | None = None) -> DataFrame:
+    """The pieces with their ids (little-endian unsigned 32-bit), written to the shared folder. memo: pre-tokens that a worker remembers; it changes speed and memory only."""
     voc = Vocabulary(vocabulary)
     text, key = voc.broadcast(docs.sparkSession), voc.key
 
     def make():
-        encode = encoder(key, text)
+        encode = encoder(key, text, memo)
         end = b"" if end_id is None else struct.pack("<I", end_id)
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
@@ -178,9 +178,9 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int | None = 2, capacity: int
     return assign(pieces, pieces, capacity).drop("task", "local")
 
 
-def pack_digests(docs: DataFrame, vocabulary: str, end_id: int | None = 2, capacity: int = CAPACITY) -> DataFrame:
+def pack_digests(docs: DataFrame, vocabulary: str, end_id: int | None = 2, capacity: int = CAPACITY, memo: int | None = None) -> DataFrame:
     """pack() with the ids' CRC-32 for the ids, taken before anything is shuffled."""
-    pieces = piece_table(docs, vocabulary, end_id, capacity)
+    pieces = piece_table(docs, vocabulary, end_id, capacity, memo)
     rows = pieces.select("task", "doc_id", "piece", "start", "length", "local", F.crc32("ids").alias("ids_crc32"))
     placed = assign(pieces, rows, capacity)
     return placed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
