@@ -18,6 +18,8 @@ from tracelake.llm.queries import vocabulary
 LEAST_SHARE = 0.5
 #: Languages whose documents stay; None: all that the table's own labels teach.
 LANGUAGES: list[str] | None = None
+#: Pre-tokens that a worker remembers while packing: fewer than packing by itself does, since other stages share the executors.
+MEMO = 150_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +63,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is one piece that holds the end id; a longer text than a sequence is cut into pieces; repeated rows, and
     rows without doc_id, are packed each; an empty table gives no rows; other columns are not read.
     """
-    return packing.pack_digests(docs, vocabulary())
+    return packing.pack_digests(docs, vocabulary(), memo=MEMO)
 
 
 STAGES = [("quality_rules", quality), ("language_id", language), ("simhash_near_dedup", near_duplicates), ("best_fit_packing", pack)]
