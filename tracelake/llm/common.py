@@ -91,7 +91,8 @@ def parts(b: pa.RecordBatch, rows: int, size: int = BYTES_AT_A_TIME) -> Iterator
 
 
 def release() -> None:
-    """Gives memory that this worker has freed back to the machine, where its C library can; workers live on, and otherwise keep what a stage took."""
+    """Gives memory that this process has freed, Arrow's included, back to the machine, where its C library can; workers live on, and otherwise keep what a stage took."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
