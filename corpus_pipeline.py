@@ -19,7 +19,7 @@ LEAST_SHARE = 0.5
 #: Languages whose documents stay; None: all that the table's own labels teach.
 LANGUAGES: list[str] | None = None
 #: Pre-tokens that a worker remembers while packing: fewer than packing by itself does, since other stages share the executors.
-MEMO = 150_000
+MEMO = 50_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -144,7 +144,9 @@ def worker_value(key: tuple, make: Callable):
     if key not in WORKER:
         for other in [k for k in WORKER if k[0] != key[0]]:
             del WORKER[other]
+        release()
         WORKER[key] = make()
+        release()
     return WORKER[key]
 
 

@@ -131,9 +131,11 @@ def read(rows: DataFrame, hot=None) -> DataFrame:
         last = np.empty(0, dtype=np.uint64) if hot is None else hot.value
 
         def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-            words = [cut(t or "") for t in b.column(1).to_pylist()]
-            made = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in words]
-            sets = [shingles(w, memo) for w in words]
+            made, sets = [], []
+            for t in b.column(1):
+                words = cut(t.as_py() or "")
+                made.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+                sets.append(shingles(words, memo))
             columns = [b.column(0), binary(made), pa.array([len(s) for s in sets], type=pa.int32()), pa.array([fingerprint(s) for s in sets], type=pa.int64()), _lists([prefix(s, last) for s in sets]), binary([sketch(s) for s in sets])]
             return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in READ.split(", ")])
 
