@@ -59,6 +59,31 @@ def test_pairs_that_stars_leave_are_compared(spark, monkeypatch):
     test_near_copies_equal_brute_force(spark)
 
 
+def test_small_tiles_and_few_known_meetings_lose_nothing(spark, monkeypatch):
+    for name, value in (("STARS", 0), ("RADIUS", 0), ("TILE", 8), ("SET_TILE", 4), ("EARLIER", 2)):
+        monkeypatch.setattr(near_copies, name, value)
+    test_near_copies_equal_brute_force(spark)
+
+
+def test_a_group_of_near_copies_makes_no_square_of_rows(spark, monkeypatch):
+    made = {}
+    write = near_copies.stored
+
+    def counted(df, tag):
+        out = write(df, tag)
+        made[tag] = max(made.get(tag, 0), out.count())
+        return out
+
+    for name, value in (("STARS", 0), ("RADIUS", 0), ("stored", counted)):
+        monkeypatch.setattr(near_copies, name, value)
+    words = sentence(21, 150).split()
+    rows = [(k, " ".join([*words[:k], f"new{k}", *words[k + 1 :]])) for k in range(5, 145)]
+    got = near_copies.near_copies(spark.createDataFrame(rows, "row long, text string")).collect()
+    assert {r["group"] for r in got} == {5}
+    # Prefixes have at most 31 hashes; all pairs would be 9,730.
+    assert max(made.values()) <= 31 * len(rows)
+
+
 def test_the_stage_finds_copies_beyond_the_radius_of_simhash(spark, docs):
     from tracelake.llm import simhash
 

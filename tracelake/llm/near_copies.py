@@ -8,16 +8,20 @@
    least one hash of every set that is similar enough. The order is by hash, but hashes that stand in more than HOT prefixes are
    put last, the most frequent MOST_HOT of them; which these are decides only how many pairs are looked at, not which links are found.
 4. Rows that share a prefix hash meet. A meeting's rows are compared with one pivot of it in each of STARS rounds, leaving out
-   rows that links already join. What still meets then is dealt to tiles of at most TILE rows, and tiles are compared in full.
-   No pair is made of rows that links join, and only pairs that pass a bound leave a tile; no link between groups is missed.
+   rows that links already join. What still meets then is dealt to tiles of about TILE rows, and tiles are compared in full.
+   Only rows that are in a pair which passes a bound leave a tile. They meet once more in tiles that carry their sets, where each
+   such pair is compared exactly, and links leave that join groups: fewer than a tile has rows, not one for each similar pair.
+   No pair is made of rows that links join; no link between groups is missed.
 5. The bound: sketches count a set's hashes in cells, and the smaller counts summed over cells are no less than what two sets
-   share. Sets in full are made only of the texts of pairs that the bound lets through.
+   share. Sets in full are made only of the texts of pairs that the bound lets through. A pair that meets often is looked at in
+   its first meeting only, by what each row knows of its meetings.
 6. Groups are the components of links, named by their smallest row.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +44,10 @@ MOST_SHARED = 4_000_000
 STARS = 2
 #: Rows of a tile, and cells of the sketches that it carries at most.
 TILE, COARSE = 256, 512
+#: Rows of a tile of sets, and hashes that it carries at most (but for those of one row, and as rows are dealt by their hashes).
+SET_TILE, SET_HASHES = 1024, 1 << 19
+#: Earlier meetings of a row that a tile knows of at most; with fewer, pairs are looked at more often than once.
+EARLIER = 64
 #: Rows to look up that are broadcast at most (8 bytes each).
 FEW = 300_000
 #: Words that a worker remembers.
@@ -255,11 +263,12 @@ def coarse(sketch: bytes) -> bytes:
 
 
 class Tile:
-    """Rows (n, row, group, coarse sketch) in the order of their sizes, with their sketches as matrices by width."""
+    """Rows (n, row, group, earlier meetings) in the order of their sizes, with their coarse sketches as matrices by width."""
 
-    def __init__(self, rows: list[dict]):
+    def __init__(self, rows: list[dict], sketches: list[bytes]):
         self.n, self.row, self.group = (np.array([r[c] for r in rows], dtype=np.int64) for c in ("n", "row", "group"))
-        self.sketches = [r["sketch"] for r in rows]
+        self.earlier = [frozenset(r["earlier"]) for r in rows]
+        self.sketches = sketches
         self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def cells(self, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -272,9 +281,8 @@ class Tile:
             self.folded[width] = counts, fits
         return self.folded[width]
 
-    def near(self, other: Tile, same: bool) -> list[tuple[int, int]]:
-        """Pairs of rows of different groups that coarse sketches do not rule out."""
-        found: list[tuple[int, int]] = []
+    def near(self, other: Tile, same: bool) -> Iterator[tuple[int, int]]:
+        """Places of pairs of different groups that did not meet earlier and that coarse sketches do not rule out. Groups may be joined meanwhile."""
         low = np.searchsorted(other.n, -(-OVER * self.n // UNDER))
         high = np.searchsorted(other.n, UNDER * self.n // OVER, side="right")
         for k, (lo, hi) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
@@ -287,39 +295,99 @@ class Tile:
                     counts, fits = other.cells(width)
                     bound = np.minimum(counts[at], self.cells(width)[0][k]).sum(axis=1)
                     at = at[~fits[at] | _similar(bound, other.n[at], self.n[k])]
-            found += [(min(self.row[k], x), max(self.row[k], x)) for x in other.row[at].tolist()]
-        return found
+            for j in at.tolist():
+                if other.group[j] != self.group[k] and self.earlier[k].isdisjoint(other.earlier[j]):
+                    yield k, j
+
+    def rename(self, group: int, name: int) -> None:
+        self.group[self.group == group] = name
+
+
+def touched(rows: list[dict], others: list[dict] | None) -> set[int]:
+    """Of the rows of two tiles (of one, if others is None), whose values are coarse sketches, those in a pair to be compared."""
+    tile = Tile(rows, [r["value"] for r in rows])
+    other = tile if others is None else Tile(others, [r["value"] for r in others])
+    return {int(x) for k, j in tile.near(other, others is None) for x in (tile.row[k], other.row[j])}
+
+
+def forest(rows: list[dict], others: list[dict] | None) -> list[tuple[int, int]]:
+    """Links between rows of two tiles (of one, if others is None), whose values are their sets: they join the groups that all similar pairs would, each link two of them."""
+
+    def read_tile(rows: list[dict]) -> tuple[Tile, list[np.ndarray]]:
+        held = [np.frombuffer(r["value"], dtype="<u8") for r in rows]
+        return Tile(rows, [coarse(sketch(x)) for x in held]), held
+
+    tile, x = read_tile(rows)
+    other, y = (tile, x) if others is None else read_tile(others)
+    links = []
+    for k, j in tile.near(other, others is None):
+        less, more = sorted((x[k], y[j]), key=len)
+        if _similar(int(np.count_nonzero(_among(less, more))), len(less), len(more)):
+            links.append((int(min(tile.row[k], other.row[j])), int(max(tile.row[k], other.row[j]))))
+            gone, name = int(other.group[j]), int(tile.group[k])
+            tile.rename(gone, name)
+            other.rename(gone, name)
+    return links
+
+
+def tile_pairs(here: DataFrame, values: DataFrame, tiles: F.Column, tag: str) -> DataFrame:
+    """(meeting, rows, others): tiles of here (meeting, row, n, group, earlier) with their values (row, value), each by itself (others is null) and
+    with every other of its meeting. tiles: how many a meeting has, as an aggregate."""
+    sized = here.groupBy("meeting").agg(tiles.cast("int").alias("tiles"))
+    dealt = here.join(sized, "meeting").withColumn("tile", F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int"))
+    dealt = dealt.join(values, "row").groupBy("meeting", "tile").agg(F.first("tiles").alias("tiles"), F.array_sort(F.collect_list(F.struct("n", "row", "group", "earlier", "value"))).alias("rows"))
+    packed = stored(dealt, tag)
+    alone = packed.where("tiles = 1").select("meeting", "rows", F.lit(None).cast(packed.schema["rows"].dataType).alias("others"))
+    several = packed.where("tiles > 1")
+    sent = several.select("meeting", F.col("tile").alias("from"), F.col("rows").alias("others"), F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)).alias("tile"))
+    pairs = several.select("meeting", "tile", "rows").join(sent, ["meeting", "tile"]).select("meeting", "rows", F.when(F.col("from") != F.col("tile"), F.col("others")).alias("others"))
+    return alone.unionByName(pairs)
 
 
-def tile_pairs(here: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(a, b): of rows that meet and are in different groups, those that coarse sketches do not rule out, by comparing tiles in full."""
+def met_rows(here: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Rows of here (meeting, row, n, group) that are in a pair of different groups which coarse sketches do not rule out, with earlier: smaller
+    meetings of the row, EARLIER at most. A pair counts at its first meeting only, and rows are given, not pairs."""
 
     def fold():
-        return lambda b: pa.RecordBatch.from_arrays([b.column(0), b.column(1), binary([coarse(x) for x in b.column(2).to_pylist()])], ["row", "n", "sketch"])
-
-    sized = here.groupBy("meeting").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    dealt = here.join(sized, "meeting").select("meeting", "tiles", F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int").alias("tile"), "row", "group")
-    wanted = sketches.join(few(here.select("row").distinct()), "row", "left_semi")
-    dealt = dealt.join(map_arrow(wanted, "row long, n int, sketch binary", fold), "row").groupBy("meeting", "tile").agg(F.first("tiles").alias("tiles"), F.array_sort(F.collect_list(F.struct("n", "row", "group", "sketch"))).alias("rows"))
-    packed = stored(dealt, "row_tiles")
-    alone = packed.where("tiles = 1").select("rows", F.lit(None).cast(packed.schema["rows"].dataType).alias("others"))
-    several = packed.where("tiles > 1")
-    sent = several.select("meeting", F.col("tile").alias("from"), F.col("rows").alias("others"), F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)).alias("tile"))
-    pairs = several.select("meeting", "tile", "rows").join(sent, ["meeting", "tile"]).select("rows", F.when(F.col("from") != F.col("tile"), F.col("others")).alias("others"))
+        return lambda b: pa.RecordBatch.from_arrays([b.column(0), binary([coarse(x) for x in b.column(1).to_pylist()])], ["row", "value"])
 
     def make():
         def batch(b: pa.RecordBatch) -> pa.RecordBatch | None:
-            found: set[tuple[int, int]] = set()
-            for rows, others in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                tile = Tile(rows)
-                found.update(tile.near(tile if others is None else Tile(others), others is None))
+            found = {(m, x) for m, rows, others in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in touched(rows, others)}
             if not found:
                 return None
-            return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*found, strict=True)], ["meeting", "row"])
+
+        return batch
+
+    first = here.groupBy("row").agg(F.slice(F.array_sort(F.collect_list("meeting")), 1, EARLIER).alias("first"))
+    here = stored(here.join(first, "row").select("meeting", "row", "n", "group", F.filter("first", lambda m: m < F.col("meeting")).alias("earlier")), "met")
+    values = map_arrow(sketches.select("row", "sketch").join(few(here.select("row").distinct()), "row", "left_semi"), "row long, value binary", fold)
+    pairs = tile_pairs(here, values, F.ceil(F.count(F.lit(1)) / TILE), "sketch_tiles")
+    found = stored(map_arrow(pairs, "meeting long, row long", make), "near_rows")
+    return stored(here.join(found.distinct(), ["meeting", "row"], "left_semi"), "met_rows")
+
+
+def tile_links(here: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b): links of here (meeting, row, n, group, earlier) that join the same groups as all similar pairs that meet. Sets are compared in the tiles, so
+    no pairs are made; a pair of tiles gives fewer links than it has rows, so a group of thousands of near copies makes no square of them."""
+
+    def read_sets():
+        memo = _memo()
+        return lambda b: pa.RecordBatch.from_arrays([b.column(0), binary([shingles(cut(t.as_py() or ""), memo).astype("<u8").tobytes() for t in b.column(1)])], ["row", "value"])
+
+    def make():
+        def batch(b: pa.RecordBatch) -> pa.RecordBatch | None:
+            links = {x for here, others in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in forest(here, others)}
+            if not links:
+                return None
+            return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
         return batch
 
-    return map_arrow(alone.unionByName(pairs), "a long, b long", make).distinct()
+    values = map_arrow(rows.join(few(here.select("row").distinct()), "row", "left_semi"), "row long, value binary", read_sets)
+    tiles = F.greatest(F.ceil(F.count(F.lit(1)) / SET_TILE), F.ceil(F.sum("n") / SET_HASHES))
+    return map_arrow(tile_pairs(here, values, tiles, "set_tiles").select("rows", "others"), "a long, b long", make)
 
 
 def near_copies(rows: DataFrame) -> DataFrame:
@@ -359,9 +427,10 @@ def near_copies(rows: DataFrame) -> DataFrame:
             one = here.groupBy("meeting").agg(pick).select("meeting", "s.p", "s.pn", "s.pg")
             pairs = here.join(one, "meeting").where((F.col("group") != F.col("pg")) & (UNDER * F.least("n", "pn") >= OVER * F.greatest("n", "pn")))
             pairs = pairs.select(F.least("row", "p").alias("a"), F.greatest("row", "p").alias("b")).distinct()
+            tested = tested.unionByName(compared(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "compared"))
         else:
-            pairs = stored(tile_pairs(here.select("meeting", "row", "group"), sketches), "tile_pairs")
-        tested = tested.unionByName(compared(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "compared"))
+            links = stored(tile_links(met_rows(here, sketches), rows), "tile_links")
+            tested = tested.unionByName(links.select("a", "b", F.lit(True).alias("near")))
     else:
         found = stored(components(tested.where("near").select("a", "b")), "groups")
     named = classes.join(found.select(F.col("node").alias("row"), "component"), "row", "left").select("key", F.coalesce("component", "row").alias("group"))
