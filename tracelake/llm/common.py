@@ -98,6 +98,15 @@ def release() -> None:
         trim(0)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Has the executors' JVMs collect their garbage in full, after which they give the heap they do not need back to the machine: of themselves they keep
+    what a stage made them take, beside the Python workers of the next. One small task for each core reaches every executor that is idle. Only a hint: one
+    that is missed, or whose JVM ignores it, keeps its heap, and no result depends on it."""
+    master = spark.sparkContext.master
+    tasks = 1 if master == "local" or master.startswith("local[") else spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
 def map_arrow(df: DataFrame, schema: str | T.StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], rows: int = ROWS_AT_A_TIME) -> DataFrame:
     """mapInArrow with batches of at most `rows` rows and BYTES_AT_A_TIME bytes; make() runs once a task and gives the function for a batch."""
 

@@ -16,6 +16,8 @@
    share. Sets in full are made only of the texts of pairs that the bound lets through. A pair that meets often is looked at in
    its first meeting only, by what each row knows of its meetings.
 6. Groups are the components of links, named by their smallest row.
+
+Between these steps the executors' JVMs give back the heap that the one before left behind.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm import simhash
-from tracelake.llm.common import binary, map_arrow, stored, worker_value
+from tracelake.llm.common import binary, collect_garbage, map_arrow, stored, worker_value
 from tracelake.llm.components import components
 
 SHINGLE = 5
@@ -407,15 +409,19 @@ def near_copies(rows: DataFrame) -> DataFrame:
         both = left.join(held.select(F.col("row").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("row").alias("b"), F.col("hashes").alias("y")), "b")
         return stored(both.select("a", "b", _similar(F.size(F.array_intersect("x", "y")), F.col("na"), F.col("nb")).alias("near")), tag)
 
+    spark = rows.sparkSession
+    collect_garbage(spark)
     # SimHash: each fingerprint's rows with the first of them, and those of the links.
     prints = stored(own.where("n > 0").groupBy("fp").agg(F.min("row").alias("first")), "prints")
     linked = stored(simhash.links(prints.select("fp"), RADIUS), "linked_prints")
     of_links = linked.join(prints.select(F.col("fp").alias("x"), F.col("first").alias("p")), "x").join(prints.select(F.col("fp").alias("y"), F.col("first").alias("q")), "y").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
     of_prints = own.where("n > 0").select("row", "fp").join(prints, "fp").where("row != first").select(F.col("first").alias("a"), F.col("row").alias("b"))
     tested = compared(of_links.unionByName(of_prints), "linked")
+    collect_garbage(spark)
     met = meetings(*ordered_prefixes(rows, own.select("row", "n", "prefix")))
 
     for turn in range(STARS + 1):
+        collect_garbage(spark)
         found = stored(components(tested.where("near").select("a", "b")), "groups")
         grouped = met.join(found.select(F.col("node").alias("row"), "component"), "row", "left").select("meeting", "row", "n", F.coalesce("component", "row").alias("group"))
         apart = grouped.groupBy("meeting").agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g != h").select("meeting")
