@@ -227,7 +227,7 @@ def _(node, repo, binding):
 
 @query("top_repo_pairs", f"+{S_EDGES} select source_repo, target_repo, count(*) as n_edges from edges group by all order by n_edges desc, source_repo, target_repo limit 40", _ALL)
 def _(node, repo, binding):
-    return calls.top_pairs(_edges(node, repo, binding))
+    return calls.graph_top_pairs(_graph(node, repo, binding))
 
 
 @query("binding_coverage", f"+{S_EDGES}, n as (select target_repo, count(*) as n_edges, count(*) filter (where starts_with(evidence, 'api-client')) as b from edges group by 1) select d.target_repo, coalesce(n_edges, 0) as n_edges, coalesce(b, 0) as n_binding_edges, case when coalesce(b, 0) > 0 then 'OK' when coalesce(n_edges, 0) > 0 then 'no binding-derived edges' else 'none' end as status from (select distinct target_repo from binding) d left join n using (target_repo)", _ALL)
