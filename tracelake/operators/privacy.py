@@ -16,6 +16,8 @@ NEAR_LINES = 80
 DELETE_LINES = 30
 DELETES = r"(?i)\b(delete|remove|erase|purge|forget)\w*\b"
 TOUCH = ["repo", "stage", "family", "field_key", "pii_classification", "file", "line", "confidence"]
+#: Families of nodes that hold a field.
+OWN = ("pii-field", "pii-log", "pii-storage")
 #: Stage that a field is in if a node of one of the families is near it.
 PROBES = {"process": ("sql+near-pii-field", ("sql",)), "transmit": ("http-out+near-pii-field", ("http-out",)), "encrypt": ("crypto+near-pii-field", ("crypto-algorithm", "crypto-config"))}
 
@@ -40,8 +42,19 @@ def near(rows: DataFrame, others: DataFrame, lines: int) -> DataFrame:
     return rows.join(met.select("repo", "file", "line").distinct(), ["repo", "file", "line"], "left_semi")
 
 
+def _held(nodes: DataFrame) -> DataFrame:
+    """The nodes that touchpoints are made of, with what they need of them, written once: each stage reads them again, and not what they are made from."""
+    families = [*OWN, *(f for _, probes in PROBES.values() for f in probes)]
+    rows = nodes.select("repo", "file", "line", "family", "field_name", "pii_classification", "confidence", F.coalesce(F.col("raw").rlike(DELETES), F.lit(False)).alias("deletes"))
+    return stored(rows.where(F.col("family").isin(*families) | F.col("deletes")), "held")
+
+
 def proximity_touches(nodes: DataFrame) -> DataFrame:
     """Touches of fields that have SQL, outbound calls or cryptography near: one for each (repo, field, stage, line), of low confidence."""
+    return _proximity(_held(nodes))
+
+
+def _proximity(nodes: DataFrame) -> DataFrame:
     fields = nodes.where("family = 'pii-field' and field_name is not null and field_name != ''")
     out = None
     for stage, (name, probes) in PROBES.items():
@@ -54,15 +67,20 @@ def proximity_touches(nodes: DataFrame) -> DataFrame:
 
 def delete_touches(nodes: DataFrame) -> DataFrame:
     """Fields with text that deletes something near."""
-    rows = nodes.where(F.col("family").isin("pii-log", "pii-storage", "pii-field") & (F.coalesce("field_name", F.lit("")) != ""))
-    return _touch(near(rows, nodes.where(F.col("raw").rlike(DELETES)), DELETE_LINES), "delete")
+    return _deletes(_held(nodes))
+
+
+def _deletes(nodes: DataFrame) -> DataFrame:
+    rows = nodes.where(F.col("family").isin(*OWN) & (F.coalesce("field_name", F.lit("")) != ""))
+    return _touch(near(rows, nodes.where("deletes"), DELETE_LINES), "delete")
 
 
 def touchpoints(nodes: DataFrame) -> DataFrame:
     """Every place where a field is handled, with its stage."""
+    nodes = _held(nodes)
     named = F.coalesce("field_name", F.lit("")) != ""
     own = _touch(nodes.where((F.col("family") == "pii-field") & named), "collect").unionByName(_touch(nodes.where("family = 'pii-storage'"), "store")).unionByName(_touch(nodes.where("family = 'pii-log'"), "log"))
-    return own.unionByName(proximity_touches(nodes)).unionByName(delete_touches(nodes)).select(*TOUCH)
+    return own.unionByName(_proximity(nodes)).unionByName(_deletes(nodes)).select(*TOUCH)
 
 
 def lifecycle(touches: DataFrame) -> DataFrame:
